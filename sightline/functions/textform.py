@@ -1,0 +1,126 @@
+"""One consistent form for text that looks alike but is stored differently.
+
+``skeleton`` decomposes a text, replaces every character by the prototype of
+its look-alike class and decomposes again; ``consistent_form`` composes that
+skeleton.  Case, accents, tabs and line ends stay as they are.
+
+The work is done in Python (Spark has no normaliser), but only for texts that
+hold a character outside ``SAFE``: over that alphabet the form is the identity,
+so a JVM regular expression keeps all other texts out of the Arrow stream.
+
+Null stays null; the empty text stays empty.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Letters of other scripts and the Latin letter each looks like.
+CYRILLIC_FROM = "АВЕЅІЈКМНОРСТУХҺԚԜҮӀ" + "аеѕіјорсухһԁԛԝѵӏ"
+CYRILLIC_TO = "ABESIJKMHOPCTYXHQWYI" + "aesijopcyxhdqwvl"
+GREEK_FROM = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳ" + "αγινορυϲ"
+GREEK_TO = "ABEZHIKMNOPTYXCj" + "ayivopuc"
+ARMENIAN_FROM = "ՍՕոսօհցյ"
+ARMENIAN_TO = "UOnuohgj"
+CHEROKEE_FROM = "ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ"
+CHEROKEE_TO = "ABCDEHJKLMPRSTVWZ"
+#: Letters that look like the Vietnamese D with stroke (eth and African D).
+STROKE_FROM = "ÐƉ"
+STROKE_TO = "ĐĐ"
+#: Script variants of single Latin letters.
+LATIN_FROM = "ɑɡ"
+LATIN_TO = "ag"
+
+#: Compatibility mappings that are only another width or presentation.  Super- and
+#: subscripts, circled characters and fractions look different and stay.
+PRESENTATION = ("<wide>", "<narrow>", "<small>", "<font>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>")
+
+#: Characters that show nothing although they are not format characters.
+BLANK = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x2065, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
+
+#: Over these characters alone a text is in consistent form already: ASCII,
+#: composed Latin letters without look-alikes, and common punctuation.
+SAFE = (
+    "\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00a7\\u00a9\\u00ab\\u00ac\\u00ae\\u00b0\\u00b1\\u00b6\\u00b7\\u00bb\\u00bf"
+    "\\u00c0-\\u00cf\\u00d1-\\u0131\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e\\u01a0\\u01a1\\u01af\\u01b0"
+    "\\u1ea0-\\u1ef9\\u2012-\\u2015\\u2018-\\u201e\\u2020-\\u2022\\u20ab\\u20ac"
+)
+
+
+class _Prototypes(dict):
+    """Code point -> what stands for it in a skeleton, worked out on first use."""
+
+    def __missing__(self, cp: int) -> str:
+        ch = chr(cp)
+        kind = unicodedata.category(ch)
+        if kind == "Cf" or cp in BLANK or (kind == "Cc" and ch not in "\t\n\r"):
+            out = ""
+        elif kind in ("Zs", "Zl", "Zp"):
+            out = " "
+        else:
+            out = ch
+            mapping = unicodedata.decomposition(ch)
+            if mapping.startswith(PRESENTATION):
+                plain = unicodedata.normalize("NFKD", ch)
+                if " " not in plain:
+                    out = "".join(self[ord(c)] for c in plain)
+        self[cp] = out
+        return out
+
+
+_PROTOTYPES = _Prototypes(
+    zip(
+        map(ord, CYRILLIC_FROM + GREEK_FROM + ARMENIAN_FROM + CHEROKEE_FROM + STROKE_FROM + LATIN_FROM),
+        CYRILLIC_TO + GREEK_TO + ARMENIAN_TO + CHEROKEE_TO + STROKE_TO + LATIN_TO,
+        strict=True,
+    )
+)
+
+
+#: After decomposition, anything but plain characters and accents may have a prototype.
+_ODD = re.compile(f"[^{SAFE}\\u0300-\\u033f]")
+
+
+def skeleton(text: str) -> str:
+    """Decomposed look-alike prototype of ``text``: equal for equal-looking texts."""
+    replaced = _ODD.sub(lambda m: _PROTOTYPES[ord(m[0])], unicodedata.normalize("NFD", text))
+    return unicodedata.normalize("NFD", replaced)
+
+
+def consistent_form(text: str) -> str:
+    """The skeleton with its accents composed."""
+    return unicodedata.normalize("NFC", skeleton(text))
+
+
+def _arrow_udf(function):
+    import pyarrow as pa
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else function(t) for t in texts.to_pylist()], pa.string())
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "string")
+
+
+def is_plain(text: Column) -> Column:
+    """True where the text holds only characters for which the form is the identity."""
+    return ~text.rlike(f"[^{SAFE}]")
+
+
+def form_column(text: Column) -> Column:
+    """``consistent_form`` as a column; only texts that are not plain leave the JVM."""
+    return F.coalesce(_arrow_udf(consistent_form)(F.when(~is_plain(text), text)), text)
+
+
+def words_column(text: Column) -> Column:
+    """Array of maximal runs of letters and digits, in consistent form and lower case."""
+    return F.regexp_extract_all(F.lower(form_column(text)), F.lit("([\\p{L}\\p{Nd}]+)"), F.lit(1))
+
+
+def letters_column(text: Column) -> Column:
+    """The letters of an already consistent text in lower case, all else left out."""
+    return F.regexp_replace(F.lower(text), "[^\\p{L}]+", "")

@@ -1,0 +1,164 @@
+"""Top N items of every group, by merging sorted runs with a loser tree.
+
+1. Each task sorts its rows by (group, score descending, item) into runs and
+   keeps at most N per group in a run: nothing after them can be among the top.
+   A huge group is thereby cut to N rows per run before anything is shuffled.
+2. The runs are stored in buckets by group (the shuffle), each bucket's rows in
+   run order.
+3. Per bucket a loser tree merges the runs; after N rows of a group every run
+   that still stands in the group seeks to its next group.
+
+Null and NaN scores and null groups are left out.  Equal scores are ordered by
+the smaller item.  A group with fewer rows comes out whole; repeated (group,
+score, item) rows count as rows.  An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rows that one task sorts at a time; a larger partition gives several runs.
+RUN_ROWS = 1 << 20
+
+
+def _run_maker(n: int, run_rows: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held, rows, number = [], 0, TaskContext.get().partitionId() << 24
+
+        def run() -> pa.RecordBatch:
+            nonlocal held, rows, number
+            t = pa.Table.from_batches(held).combine_chunks()
+            t = t.take(pc.sort_indices(t, sort_keys=[("g", "ascending"), ("s", "descending"), ("i", "ascending")]))
+            codes = pc.dictionary_encode(t["g"].combine_chunks()).indices.to_numpy()
+            first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            within = np.arange(len(codes)) - np.repeat(first, np.diff(np.r_[first, len(codes)]))
+            t = t.filter(pa.array(within < n)).append_column("run", pa.array(np.full(int((within < n).sum()), number)))
+            held, rows, number = [], 0, number + 1
+            return t
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= run_rows:
+                yield from run().to_batches()
+        if rows:
+            yield from run().to_batches()
+
+    return make
+
+
+class LoserTree:
+    """Merges sorted runs given as lists; inner nodes hold the losers of their matches."""
+
+    def __init__(self, runs: list[list[tuple]]):
+        self.runs, self.at = runs, [0] * len(runs)
+        self.leaves = k = max(1, len(runs))
+        self.heads = [r[0] if r else None for r in runs] or [None]
+        self.losers = [-1] * k
+        for r in range(k):
+            self._play(r, filling=True)
+
+    def _beats(self, a: int, b: int) -> bool:
+        x, y = self.heads[a], self.heads[b]
+        return y is None or (x is not None and x <= y)
+
+    def _play(self, r: int, filling: bool = False) -> None:
+        losers, node = self.losers, (r + self.leaves) >> 1
+        while node:
+            other = losers[node]
+            if other < 0 and filling:
+                losers[node] = r
+                return
+            if not self._beats(r, other):
+                losers[node], r = r, other
+            node >>= 1
+        losers[0] = r
+
+    @property
+    def winner(self) -> int:
+        return self.losers[0]
+
+    def move(self, r: int, to: int) -> None:
+        """Put run ``r`` at position ``to`` and replay its matches."""
+        self.at[r] = to
+        run = self.runs[r]
+        self.heads[r] = run[to] if to < len(run) else None
+        self._play(r)
+
+
+def merge_top(runs: list[list[tuple]], n: int) -> Iterator[tuple]:
+    """The first ``n`` tuples of each group (a tuple's first entry) of sorted runs, with their rank."""
+    nexts = []
+    for run in runs:
+        codes = np.fromiter((x[0] for x in run), np.int64, len(run))
+        ends = np.r_[np.flatnonzero(codes[1:] != codes[:-1]) + 1, len(run)] if len(run) else np.zeros(0, np.int64)
+        nexts.append(np.repeat(ends, np.diff(np.r_[0, ends])).tolist())
+    tree = LoserTree(runs)
+    group, taken = None, 0
+    while True:
+        r = tree.winner
+        head = tree.heads[r]
+        if head is None:
+            return
+        if head[0] != group:
+            group, taken = head[0], 0
+        if taken == n:
+            tree.move(r, nexts[r][tree.at[r]])
+        else:
+            taken += 1
+            yield head, taken
+            tree.move(r, tree.at[r] + 1)
+
+
+def _merger(n: int):
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        names = pc.dictionary_encode(t["g"].combine_chunks())
+        order = pc.rank(names.dictionary, sort_keys="ascending").to_numpy() - 1  # codes in the order of the groups
+        codes = order[names.indices.to_numpy()].astype(np.int64)
+        by_code = names.dictionary.take(pc.sort_indices(names.dictionary))
+        number = t["run"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        scores, items = t["s"].to_numpy(), t["i"].to_numpy()
+        runs = [list(zip(codes[a:b].tolist(), (-scores[a:b]).tolist(), items[a:b].tolist(), strict=True)) for a, b in zip(starts, np.r_[starts[1:], len(number)], strict=True)]
+        out = list(merge_top(runs, n))
+        for k in range(0, len(out), 65_536):
+            part = out[k : k + 65_536]
+            yield pa.RecordBatch.from_arrays(
+                [by_code.take(pa.array([h[0] for h, _ in part])), pa.array([-h[1] for h, _ in part], pa.float64()), pa.array([h[2] for h, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int32())],
+                names=["g", "s", "i", "r"],
+            )
+
+    return merge
+
+
+def top_n(rows: DataFrame, group: str, score: str, item: str, n: int, run_rows: int = RUN_ROWS) -> DataFrame:
+    """(group, item, score, rank) of the ``n`` highest-scoring items of each group.
+
+    ``score`` is numeric, ``item`` integral, ``group`` a string or integral column.
+    The number of buckets is spark.sql.shuffle.partitions.
+    """
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    spark = rows.sparkSession
+    kind = rows.schema[group].dataType
+    kept = rows.where(F.col(group).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score)).select(F.col(group).alias("g"), F.col(score).cast("double").alias("s"), F.col(item).cast("long").alias("i"))
+    shape = [T.StructField("g", kind), T.StructField("s", T.DoubleType()), T.StructField("i", T.LongType())]
+    runs = kept.mapInArrow(_run_maker(n, run_rows), T.StructType([*shape, T.StructField("run", T.LongType())]))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = runs.repartition(buckets, "g").sortWithinPartitions("run", "g", F.col("s").desc(), "i")
+    merged = stored.mapInArrow(_merger(n), T.StructType([*shape, T.StructField("r", T.IntegerType())]))
+    return merged.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), F.col("r").alias("rank"))
