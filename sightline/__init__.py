@@ -1,0 +1,8 @@
+"""A Spark-native multi-channel retrieval and answer-allocation engine."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors carry their code, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

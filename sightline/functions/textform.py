@@ -83,6 +83,7 @@ _PROTOTYPES = _Prototypes(
 
 #: After decomposition, anything but plain characters and accents may have a prototype.
 _ODD = re.compile(f"[^{SAFE}\\u0300-\\u033f]")
+_PLAIN = re.compile(f"[^{SAFE}]")
 
 
 def skeleton(text: str) -> str:
@@ -93,6 +94,8 @@ def skeleton(text: str) -> str:
 
 def consistent_form(text: str) -> str:
     """The skeleton with its accents composed."""
+    if _PLAIN.search(text) is None:
+        return text
     return unicodedata.normalize("NFC", skeleton(text))
 
 

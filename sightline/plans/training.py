@@ -1,0 +1,87 @@
+"""Queries of the general operators for training data, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sightline.functions.textform import words_column
+from sightline.operators import rank_fusion, similarity_clusters, term_weight, top_n
+from sightline.operators.versions import latest
+from sightline.session import table
+
+
+def _frame_clusters(spark, d):
+    return similarity_clusters.frame_clusters(table(spark, d, "review_frames"), table(spark, d, "vectors"))
+
+
+def p2_found(spark, d):
+    return similarity_clusters.with_leads(_frame_clusters(spark, d))
+
+
+def p2_describe(spark, d):
+    found = _frame_clusters(spark, d).groupBy("frame_key", "pivot").agg(F.max("closeness").alias("closeness")).withColumnRenamed("frame_key", "id")
+    sizes = found.groupBy("pivot").agg(F.count("*").alias("size"))
+    return similarity_clusters.describe(found.join(sizes, "pivot")).withColumnRenamed("pivot", "cluster_id")
+
+
+def _fused(spark, d):
+    rows = table(spark, d, "candidates").select("query_no", "cand_id", "raw", "ingested_at")
+    return rank_fusion.fuse_maps(rows, "query_no", "cand_id", "raw", prepare=lambda x: latest(x, "cand_id", "ingested_at"))
+
+
+def p3_found(spark, d):
+    return rank_fusion.heads(_fused(spark, d), "query_no", "cand_id")
+
+
+def p3_scores(spark, d):
+    return _fused(spark, d).select("query_no", "cand_id", F.round("fused_score", 9).alias("fused_score"))
+
+
+def _collection(spark, d):
+    docs = latest(table(spark, d, "docs").select("doc_id", "text"), "doc_id").select("doc_id", words_column(F.col("text")).alias("terms"))
+    return term_weight.Collection.of(term_weight.count_terms(docs, "doc_id", "terms"))
+
+
+def _keyword_counts(spark, d):
+    one = latest(table(spark, d, "queries").select("query_no", "keywords"), "query_no")
+    words = one.select("query_no", words_column(F.array_join("keywords", "\n")).alias("terms"))
+    return term_weight.count_terms(words, "query_no", "terms")
+
+
+def p5_scores(spark, d):
+    docs = _collection(spark, d)
+    both = docs.score(docs.counts).withColumn("record_kind", F.lit("doc")).unionByName(docs.score(_keyword_counts(spark, d)).withColumn("record_kind", F.lit("query")))
+    return both.select("record_kind", "record_key", "term", "joint", "df", F.round("ppmi", 6).alias("ppmi"))
+
+
+def p5_found(spark, d):
+    rare = (F.col("df") >= 1) & (F.col("df") <= 4)
+    enough = (F.col("record_kind") == "query") | (F.col("joint") >= 4)
+    return p5_scores(spark, d).where(rare & enough & (F.col("ppmi") >= 0)).select("record_kind", "record_key", "term")
+
+
+def p6_found(spark, d):
+    rows = table(spark, d, "candidates").select("video_id", "cand_id", "fused_score", "ingested_at")
+    return top_n.top_n(latest(rows, "cand_id", "ingested_at"), "video_id", "fused_score", "cand_id", 12).select("video_id", "cand_id")
+
+
+def queries():
+    return {f.__name__: f for f in (p2_found, p2_describe, p3_found, p3_scores, p5_found, p5_scores, p6_found)}
+
+
+# The channels of candidates.raw.
+CHANNELS = ["dense_localized", "dense_multilingual", "entity_fuzzy", "objects", "sparse_text", "sparse_title"]
+
+_LATEST = "latest AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY ingested_at DESC) = 1)"
+_SCORES = ", ".join(f"CASE WHEN isnan(raw['{c}']) THEN NULL ELSE raw['{c}'] END AS s{k}" for k, c in enumerate(CHANNELS))
+_RANKS = ", ".join(f"CASE WHEN s{k} IS NULL THEN 0.0 ELSE 1.0::DOUBLE / (60.0::DOUBLE + rank() OVER (PARTITION BY query_no ORDER BY s{k} DESC NULLS LAST)) END AS r{k}" for k in range(len(CHANNELS)))
+_TOTAL = " + ".join(f"r{k}" for k in range(len(CHANNELS)))
+_FUSED = f"WITH {_LATEST}, scores AS (SELECT query_no, cand_id, {_SCORES} FROM latest WHERE query_no IS NOT NULL), ranks AS (SELECT query_no, cand_id, {_RANKS} FROM scores), fused AS (SELECT query_no, cand_id, {_TOTAL} AS fused_score FROM ranks)"
+
+
+def oracle_sql():
+    return {
+        "p3_found": f"{_FUSED} SELECT query_no, cand_id FROM fused QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY fused_score DESC, cand_id) = 1",
+        "p3_scores": f"{_FUSED} SELECT query_no, cand_id, round(fused_score, 9) AS fused_score FROM fused",
+        "p6_found": f"WITH {_LATEST} SELECT video_id, cand_id FROM latest WHERE video_id IS NOT NULL AND fused_score IS NOT NULL AND NOT isnan(fused_score) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY fused_score DESC, cand_id) <= 12",
+    }
