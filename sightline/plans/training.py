@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.functions.textform import words_column
+from sightline.functions.textform import form_column, words_of_form
 from sightline.operators import rank_fusion, similarity_clusters, term_weight, top_n
 from sightline.operators.versions import latest
 from sightline.session import table
@@ -38,13 +38,15 @@ def p3_scores(spark, d):
 
 
 def _collection(spark, d):
-    docs = latest(table(spark, d, "docs").select("doc_id", "text"), "doc_id").select("doc_id", words_column(F.col("text")).alias("terms"))
+    # In consistent form first: after the exchange a Python step would hide that documents are together by doc_id.
+    formed = table(spark, d, "docs").select("doc_id", form_column(F.col("text")).alias("form"))
+    docs = latest(formed, "doc_id").select("doc_id", words_of_form(F.col("form")).alias("terms"))
     return term_weight.Collection.of(term_weight.count_terms(docs, "doc_id", "terms"))
 
 
 def _keyword_counts(spark, d):
-    one = latest(table(spark, d, "queries").select("query_no", "keywords"), "query_no")
-    words = one.select("query_no", words_column(F.array_join("keywords", "\n")).alias("terms"))
+    formed = table(spark, d, "queries").select("query_no", form_column(F.array_join("keywords", "\n")).alias("form"))
+    words = latest(formed, "query_no").select("query_no", words_of_form(F.col("form")).alias("terms"))
     return term_weight.count_terms(words, "query_no", "terms")
 
 
