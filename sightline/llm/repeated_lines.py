@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.textform import form_column, letters_column
+from sightline.functions.textform import form_column
 from sightline.operators.versions import latest
 
 LEAST_DOCUMENTS = 8
@@ -28,30 +28,33 @@ def site_of(video_id: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(site, key, word, bit, doc_id, line_no) of every line that has a letter; word and bit place the document in a bitmap."""
-    site = site_of(F.col("video_id"))
+    """(key, check, word, bit, doc_id, line_no) of every line that has a letter.
+
+    key and check are 96 bits of hash over the site and the line's letters; word and
+    bit place the document in a bitmap.
+    """
+    letters = F.regexp_replace(F.lower(form_column(F.col("text"))), "[^\\p{L}\\n]+", "")
     lines = (
         docs.where(F.col("video_id").isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", site.alias("site"), form_column(F.col("text")).alias("form"))
-        .select("doc_id", "site", F.posexplode(F.split("form", "\n", -1)).alias("at", "line"))
-        .select("doc_id", "site", (F.col("at") + 1).cast("long").alias("line_no"), letters_column(F.col("line")).alias("letters"))
-        .where("letters <> ''")
+        .select("doc_id", site_of(F.col("video_id")).alias("site"), letters.alias("letters"))
+        .select("doc_id", "site", F.posexplode_outer(F.split("letters", "\n", -1)).alias("at", "line"))
+        .where("line <> ''")
     )
     return lines.select(
-        "site", F.unhex(F.md5("letters")).alias("key"), F.expr("shiftright(doc_id, 6)").alias("word"),
-        F.expr("cast(doc_id & 63 as int)").alias("bit"), "doc_id", "line_no",
+        F.xxhash64("site", "line").alias("key"), F.hash("line", "site").alias("check"), F.expr("shiftright(doc_id, 6)").alias("word"),
+        F.expr("cast(doc_id & 63 as int)").alias("bit"), "doc_id", (F.col("at") + 1).cast("long").alias("line_no"),
     )
 
 
 def bitmaps(lines: DataFrame) -> DataFrame:
-    """(site, key, word, bits): which documents of a site hold a line.  Fixed-width, combined before the shuffle."""
-    return lines.groupBy("site", "key", "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    """(key, check, word, bits): which documents of a site hold a line, variants united.  Fixed-width, combined before the shuffle."""
+    return lines.groupBy("key", "check", "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
 
 
 def above(maps: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """The bitmaps of lines in ``least_documents`` or more documents, with that number."""
-    many = maps.groupBy("site", "key").agg(F.sum(F.bit_count("bits")).alias("documents")).where(F.col("documents") >= least_documents)
-    return maps.join(many, ["site", "key"])
+    many = maps.groupBy("key", "check").agg(F.sum(F.bit_count("bits")).alias("documents")).where(F.col("documents") >= least_documents)
+    return maps.join(many, ["key", "check"])
 
 
 def repeated_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -61,7 +64,7 @@ def repeated_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> D
     third of a site is spread like any other.
     """
     lines = lines_of(docs)
-    found = lines.join(above(bitmaps(lines), least_documents), ["site", "key", "word"])
+    found = lines.join(above(bitmaps(lines), least_documents), ["key", "check", "word"])
     return found.where("(shiftright(bits, bit) & 1L) = 1").select("doc_id", "line_no", "documents").distinct()
 
 
