@@ -79,29 +79,47 @@ def sliding_windows(keyframes: DataFrame, seconds: float = 30.0, step: float = 1
     return each.select("video_id", "shot_id", "start_frame", F.least(F.col("start_frame") + F.col("wide") - 1, F.col("last")).alias("end_frame"))
 
 
+def _looked_up(frames: DataFrame, frame: str, look) -> DataFrame:
+    """``frames`` joined with what ``look`` finds for its distinct (video_id, frame) pairs.
+
+    However many rows point into one video, its distinct frames are bounded by its
+    length: they are combined before the per-video window, and the rows come back by
+    video and frame, so no task holds a hot video's rows.
+    """
+    pairs = frames.where(F.col("video_id").isNotNull() & F.col(frame).isNotNull()).select("video_id", F.col(frame).alias("__at")).distinct()
+    return frames.join(look(pairs).withColumnRenamed("__at", frame), ["video_id", frame], "left")
+
+
 def frames_to_shots(frames: DataFrame, shots: DataFrame, frame: str = "frame") -> DataFrame:
-    """``frames`` with shot_id of the shot that holds each frame, null in a gap.
+    """``frames`` with shot_id of the shot that holds each frame, null in a gap; a null frame has none.
 
     Shots of a video are disjoint, so the last one that starts by the frame is the
     only one that can hold it: one window over both tables instead of a range join.
     """
-    w = Window.partitionBy("video_id").orderBy(F.col("__at"), F.col("__kind")).rowsBetween(Window.unboundedPreceding, 0)
-    marks = shots.select("video_id", F.col("start_frame").alias("__at"), F.lit(0).alias("__kind"), F.struct("shot_id", "end_frame").alias("__shot"))
-    rows = frames.withColumn("__at", F.col(frame)).withColumn("__kind", F.lit(1))
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("__shot", F.last("__shot", ignorenulls=True).over(w)).where("__kind = 1")
-    return both.withColumn("shot_id", F.when(F.col(frame) <= F.col("__shot.end_frame"), F.col("__shot.shot_id"))).drop("__at", "__kind", "__shot")
+    w = Window.partitionBy("video_id").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    marks = shots.select("video_id", F.col("start_frame").cast("long").alias("__at"), F.lit(0).alias("__kind"), F.struct("shot_id", "end_frame").alias("__shot"))
+
+    def look(pairs: DataFrame) -> DataFrame:
+        both = pairs.withColumn("__kind", F.lit(1)).unionByName(marks, allowMissingColumns=True).withColumn("__shot", F.last("__shot", ignorenulls=True).over(w)).where("__kind = 1")
+        return both.select("video_id", "__at", F.when(F.col("__at") <= F.col("__shot.end_frame"), F.col("__shot.shot_id")).alias("shot_id"))
+
+    return _looked_up(frames, frame, look)
 
 
 def nearest_keyframes(frames: DataFrame, keyframes: DataFrame, frame: str = "frame") -> DataFrame:
     """``frames`` with nearest_n and nearest_frame: the closest keyframe of the video, on a tie the earlier, then the smaller n."""
-    marks = keyframes.where(F.col("frame_idx").isNotNull()).groupBy("video_id", F.col("frame_idx").alias("__at")).agg(F.min("n").alias("__n")).withColumn("__kind", F.lit(0)).withColumn("__mark", F.struct(F.col("__at").alias("f"), F.col("__n").alias("n"))).drop("__n")
-    rows = frames.withColumn("__at", F.col(frame)).withColumn("__kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    marks = keyframes.where(F.col("frame_idx").isNotNull()).groupBy("video_id", F.col("frame_idx").alias("f")).agg(F.min("n").alias("n")).select("video_id", F.col("f").cast("long").alias("__at"), F.lit(0).alias("__kind"), F.struct("f", "n").alias("__mark"))
     before = Window.partitionBy("video_id").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("video_id").orderBy(F.desc("__at"), "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.withColumn("__b", F.last("__mark", ignorenulls=True).over(before)).withColumn("__a", F.last("__mark", ignorenulls=True).over(after)).where("__kind = 1")
-    take_before = F.col("__b").isNotNull() & (F.col("__a").isNull() | (F.col(frame) - F.col("__b.f") <= F.col("__a.f") - F.col(frame)))
-    best = F.when(take_before, F.col("__b")).otherwise(F.col("__a"))
-    return both.withColumn("__best", best).withColumn("nearest_n", F.col("__best.n")).withColumn("nearest_frame", F.col("__best.f")).drop("__at", "__kind", "__mark", "__a", "__b", "__best")
+
+    def look(pairs: DataFrame) -> DataFrame:
+        rows = pairs.withColumn("__kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+        both = rows.withColumn("__b", F.last("__mark", ignorenulls=True).over(before)).withColumn("__a", F.last("__mark", ignorenulls=True).over(after)).where("__kind = 1")
+        take_before = F.col("__b").isNotNull() & (F.col("__a").isNull() | (F.col("__at") - F.col("__b.f") <= F.col("__a.f") - F.col("__at")))
+        best = both.withColumn("__best", F.when(take_before, F.col("__b")).otherwise(F.col("__a")))
+        return best.select("video_id", "__at", F.col("__best.n").alias("nearest_n"), F.col("__best.f").alias("nearest_frame"))
+
+    return _looked_up(frames, frame, look)
 
 
 def gaps(keyframes: DataFrame) -> DataFrame:
