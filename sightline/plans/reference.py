@@ -332,7 +332,7 @@ def timecodes(spark, d):
     return k.select("video_id", "n", r6(shots.frame_to_time(F.col("frame_idx"), F.col("fps"), True), "center"), text.timecode(F.col("pts_time")).alias("timecode"))
 
 
-@query("SELECT video_id, CAST(coalesce(try_strptime(publish_date, '%d/%m/%Y'), try_strptime(publish_date, '%Y-%m-%d')) AS DATE) AS published, count(*) AS deliveries FROM media_info GROUP BY ALL")
+@query("SELECT video_id, CAST(CASE WHEN regexp_full_match(publish_date, '\\d{1,2}/\\d{1,2}/\\d{4}') THEN try_strptime(publish_date, '%d/%m/%Y') WHEN regexp_full_match(publish_date, '\\d{4}-\\d{1,2}-\\d{1,2}') THEN try_strptime(publish_date, '%Y-%m-%d') END AS DATE) AS published, count(*) AS deliveries FROM media_info GROUP BY ALL")
 def publish_dates(spark, d):
     day = F.coalesce(*(F.when(F.col("publish_date").rlike(shape), F.try_to_date("publish_date", form)) for shape, form in (("^\\d{1,2}/\\d{1,2}/\\d{4}$", "d/M/yyyy"), ("^\\d{4}-\\d{1,2}-\\d{1,2}$", "yyyy-M-d"))))
     return table(spark, d, "media_info").groupBy("video_id", day.alias("published")).agg(F.count("*").alias("deliveries"))
