@@ -1,13 +1,12 @@
 """Evaluation texts leaking into training text.
 
 The held-out items form a BM25 inverted index whose postings are kept in blocks of
-items with each block's greatest impact per term.  Every training document is read
-as overlapping passages.  For each passage the block maxima are summed first (a
-WAND bound): only blocks whose bound reaches the block's threshold are opened, and
-only items whose BM25 score reaches the item's threshold are retrieved.  An item's
-threshold is the least score that any ``words`` consecutive words of it have, so
-no passage that contains such a run can be missed.  Retrieved pairs are verified
-on the words themselves.
+items with each block's greatest impact per term.  A training document is read as
+passages, its stretches of indexed words, and every run of ``words`` words in them is
+a query.  The block maxima are summed first (a WAND bound): only blocks whose bound
+reaches the block's threshold are opened, and only items whose BM25 score reaches the
+item's threshold are retrieved.  An item's threshold is the least score that any of
+its own runs has, so none can be missed.  Retrieved runs are verified word by word.
 
 Words are maximal runs of letters and digits in consistent form and lower case.
 Null and empty texts and items with fewer than ``words`` words match nothing.
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 from sightline.functions.textform import form_column
 
 WORDS = 12
-#: Words of a passage beyond a single run; passages overlap by WORDS - 1 words.
-STRIDE = 12
+#: Impacts that are laid out at once for a passage.
+CELLS = 1 << 21
 BLOCK = 16
 #: Characters of item text that one broadcast index may hold; more items are taken in several passes.
 #: The index is at most about 200 MB then: 130,000 terms by 420 blocks.
@@ -56,29 +55,37 @@ class ItemIndex:
         df = np.bincount(term, minlength=v)
         norm = K1 * (1 - B + B * length / max(float(length.mean()) if n else 1.0, 1e-9))
         impact = (np.log(1 + (n - df + 0.5) / (df + 0.5))[term] * tf * (K1 + 1) / (tf + norm[item])).astype(np.float32)
-        # Postings: one cell of BLOCK impacts per (term, block) that occurs, in order of term and block.
-        self.cells, where = np.unique(term * self.blocks + item // BLOCK, return_inverse=True)
-        self.impacts = np.zeros((len(self.cells) + 1, BLOCK), np.float32)
-        self.impacts[where, item % BLOCK] = impact
-        self.block_impact = np.zeros((v, self.blocks), np.float32)
-        self.block_impact.ravel()[self.cells] = self.impacts[:-1].max(1) if len(self.cells) else 0
-        self.threshold = np.full(self.blocks * BLOCK, np.inf, np.float32)
-        self.runs: list[set[bytes]] = []
         ends = np.searchsorted(pair, np.arange(n + 1) * v)
+        least = np.zeros(n)
         for k, t in enumerate(coded):
             own = impact[ends[k] : ends[k + 1]][np.searchsorted(term[ends[k] : ends[k + 1]], t)]
-            run = np.lib.stride_tricks.sliding_window_view(np.array(t, np.int32), words)
-            self.threshold[k] = np.lib.stride_tricks.sliding_window_view(own, words).sum(1).min() * 0.999
-            self.runs.append({r.tobytes() for r in run})
+            least[k] = np.lib.stride_tricks.sliding_window_view(own, words).sum(1).min() * 0.999
+        # Items of like threshold share a block, so that one low threshold does not open many others.
+        order = np.argsort(least, kind="stable")
+        place = np.argsort(order)
+        self.ids, coded = self.ids[order], [coded[k] for k in order]
+        self.threshold = np.full(self.blocks * BLOCK, np.inf)
+        self.threshold[:n] = least[order]
         self.block_threshold = self.threshold.reshape(self.blocks, BLOCK).min(1)
+        # Postings: one cell of BLOCK impacts per (term, block) that occurs, in order of term and block.
+        self.cells, where = np.unique(term * self.blocks + place[item] // BLOCK, return_inverse=True)
+        self.impacts = np.zeros((len(self.cells) + 1, BLOCK), np.float32)
+        self.impacts[where, place[item] % BLOCK] = impact
+        self.block_impact = np.zeros((v, self.blocks), np.float32)
+        self.block_impact.ravel()[self.cells] = self.impacts[:-1].max(1) if len(self.cells) else 0
+        self.runs = [{r.tobytes() for r in np.lib.stride_tricks.sliding_window_view(np.array(t, np.int32), words)} for t in coded]
 
-    def scores(self, passage: np.ndarray, block: int) -> np.ndarray:
-        """BM25 scores of a block's items for the words of a passage, a repeated word counting each time."""
-        if not len(self.cells):
-            return np.zeros(BLOCK, np.float32)
-        key = passage.astype(np.int64) * self.blocks + block
+    def rows(self, passage: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Impact of each word of a passage on each item of the given blocks."""
+        key = passage.astype(np.int64)[:, None] * self.blocks + blocks
         at = np.minimum(np.searchsorted(self.cells, key), len(self.cells) - 1)
-        return self.impacts[np.where(self.cells[at] == key, at, len(self.cells))].sum(0)
+        return self.impacts[np.where(self.cells[at] == key, at, len(self.cells))].reshape(len(passage), -1)
+
+    def _runs(self, rows: np.ndarray) -> np.ndarray:
+        """Sums of every ``words`` consecutive rows."""
+        total = np.zeros((len(rows) + 1, rows.shape[1]))
+        np.cumsum(rows, 0, dtype=np.float64, out=total[1:])
+        return total[self.words :] - total[: -self.words]
 
     def find(self, text: list[str]) -> set[int]:
         """Positions of the items of which ``text`` holds ``words`` consecutive words."""
@@ -90,29 +97,24 @@ class ItemIndex:
         return found
 
     def _segment(self, codes: np.ndarray, found: set[int]) -> None:
-        # Only stretches of at least `words` indexed words can hold a run.
+        # A passage is a stretch of indexed words; a shorter one than `words` can hold no run.
         known = np.r_[False, codes > 0, False]
         edges = np.flatnonzero(known[1:] != known[:-1])
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if b - a >= self.words:
-                self._stretch(codes[a:b], found)
-
-    def _stretch(self, codes: np.ndarray, found: set[int]) -> None:
-        starts = np.arange(0, max(1, len(codes) - self.words + 1), STRIDE)
-        ends = np.minimum(starts + STRIDE + self.words - 1, len(codes))
-        bound = np.zeros((len(codes) + 1, self.blocks), np.float32)
-        np.cumsum(self.block_impact[codes], 0, out=bound[1:])
-        opened = bound[ends] - bound[starts] >= self.block_threshold
-        for p, block in zip(*np.nonzero(opened), strict=True):
-            passage = codes[starts[p] : ends[p]]
-            score = self.scores(passage, block)
-            for k in np.flatnonzero(score >= self.threshold[block * BLOCK : (block + 1) * BLOCK]) + block * BLOCK:
-                if k not in found and self._contains(passage, k):
-                    found.add(int(k))
-
-    def _contains(self, passage: np.ndarray, item: int) -> bool:
-        runs, raw, width = self.runs[item], passage.tobytes(), 4 * self.words
-        return any(raw[k : k + width] in runs for k in range(0, len(raw) - width + 1, 4))
+                self._passage(codes[a:b], found)
+
+    def _passage(self, codes: np.ndarray, found: set[int]) -> None:
+        bound = self._runs(self.block_impact[codes])
+        blocks = np.flatnonzero((bound >= self.block_threshold).any(0))
+        raw, width, step = codes.tobytes(), 4 * self.words, max(1, CELLS // (len(codes) * BLOCK))
+        for at in range(0, len(blocks), step):
+            opened = blocks[at : at + step]
+            items = (opened[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            start, column = np.nonzero(self._runs(self.rows(codes, opened)) >= self.threshold[items])
+            for k, item in zip(start.tolist(), items[column].tolist(), strict=True):
+                if item not in found and raw[4 * k : 4 * k + width] in self.runs[item]:
+                    found.add(item)
 
 
 def _words(text) -> F.Column:

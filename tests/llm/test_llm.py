@@ -129,11 +129,14 @@ def test_thresholds_are_lower_bounds():
     rng = random.Random(3)
     texts = [[f"w{rng.randrange(30)}" for _ in range(40)] for _ in range(33)]
     index = leakage.ItemIndex(list(range(33)), texts)
-    for k, t in enumerate(texts):
+    assert sorted(index.ids.tolist()) == list(range(33))
+    for place, k in enumerate(index.ids.tolist()):
+        t, block = texts[k], place // leakage.BLOCK
         codes = np.array([index.vocabulary[w] for w in t])
-        assert min(index.scores(codes[a : a + 12], k // leakage.BLOCK)[k % leakage.BLOCK] for a in range(29)) >= index.threshold[k]
-        assert all(index.block_impact[codes[a : a + 12], k // leakage.BLOCK].sum() >= index.threshold[k] for a in range(29))
-        assert k in index.find(["x", *t[5:17], "y"])
+        for a in range(29):
+            assert index.rows(codes[a : a + 12], np.array([block])).sum(0)[place % leakage.BLOCK] >= index.threshold[place]
+            assert index.block_impact[codes[a : a + 12], block].sum() >= index.threshold[place]
+        assert place in index.find(["x", *t[5:17], "y"])
 
 
 # ---- mixing
