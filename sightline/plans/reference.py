@@ -11,7 +11,7 @@ from sightline.functions.vector import cosine
 from sightline.operators import align, channels, coverage, dense, review, scoring, shots, text_search
 from sightline.operators.versions import latest
 from sightline.plans import parse
-from sightline.session import table
+from sightline.session import cut, table
 from sightline.sources import corpus
 
 QUERIES: dict = {}
@@ -616,8 +616,8 @@ def leader_clusters(spark, d):
 
 
 def _beliefs(spark, d):
-    c = _clustered(spark, d)
-    return coverage.build_loci(c, fps_of(spark, d)), channels.video_scores(c)
+    c = cut(_clustered(spark, d))  # used by loci, beliefs and pool
+    return cut(coverage.build_loci(c, fps_of(spark, d))), cut(channels.video_scores(c))
 
 
 @query()
@@ -666,7 +666,7 @@ def localized_channel(spark, d):
 
 @query()
 def review_shortlist(spark, d):
-    c, fps = candidates_of(spark, d), fps_of(spark, d)
+    c, fps = cut(candidates_of(spark, d)), fps_of(spark, d)
     ranks = channels.video_hits(hits_of(spark, d)).select("query_id", "channel", "video_id", "rank")
     videos = review.select_videos(channels.video_scores(c).select("query_id", "video_id", F.col("raw").alias("score")), ranks)
     return review.scan_order(review.review_frames(videos, review.probes(c, fps), fps))
