@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.operators.shots import nearest_keyframes
 from sightline.session import cut
 
 #: Rows that absorb each other before the shuffle, and records compared at a time within a bucket.
@@ -329,6 +330,19 @@ def frame_clusters(frames: DataFrame, vectors: DataFrame, least: float = 0.92, t
     return keyed.join(shots, ["video_id", "n"]).join(found, "id").select("frame_key", "pivot", "medoid", "size", "closeness")
 
 
+def shot_clusters(candidates: DataFrame, keyframes: DataFrame, vectors: DataFrame, least: float = 0.92, tables: int = TABLES) -> DataFrame:
+    """(cand_id, pivot, medoid, size, closeness) of candidates' shots by the vector of the keyframe closest to their anchor.
+
+    ``candidates`` has one row per cand_id; without an anchor the middle of the shot
+    counts.  As in ``frame_clusters`` there is one record per keyframe, and candidates
+    without a video, a place or a usable vector are left out.
+    """
+    at = F.coalesce("anchor", F.floor((F.col("start_frame") + F.col("end_frame")) / 2)).cast("int")
+    placed = nearest_keyframes(candidates.where("video_id is not null").select("cand_id", "video_id", at.alias("frame")), keyframes)
+    shots = cut(placed.where("nearest_n is not null").select(F.col("cand_id").alias("frame_key"), "video_id", F.col("nearest_n").alias("n")))
+    return frame_clusters(shots, vectors, least, tables).withColumnRenamed("frame_key", "cand_id")
+
+
 def with_leads(found: DataFrame) -> DataFrame:
     """(frame_key, lead_key) for frames whose cluster has two or more frames; the lead is its smallest frame_key."""
     leads = found.groupBy("pivot").agg(F.min("frame_key").alias("lead_key"), F.count("*").alias("frames")).where("frames > 1")

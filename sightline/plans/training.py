@@ -18,12 +18,29 @@ def p2_found(spark, d):
     return similarity_clusters.with_leads(_frame_clusters(spark, d))
 
 
-def p2_describe(spark, d):
-    found = _frame_clusters(spark, d).groupBy("frame_key", "pivot").agg(F.max("closeness").alias("closeness")).withColumnRenamed("frame_key", "id")
+def _described(found, key):
+    found = found.groupBy(key, "pivot").agg(F.max("closeness").alias("closeness")).withColumnRenamed(key, "id")
     sizes = found.groupBy("pivot").agg(F.count("*").alias("size"))
     return similarity_clusters.describe(found.join(sizes, "pivot")).withColumnRenamed("pivot", "cluster_id")
 
 
+def p2_describe(spark, d):
+    return _described(_frame_clusters(spark, d), "frame_key")
+
+
+def _shot_clusters(spark, d):
+    rows = table(spark, d, "candidates").select("cand_id", "video_id", "start_frame", "end_frame", "anchor", "ingested_at")
+    return similarity_clusters.shot_clusters(latest(rows, "cand_id", "ingested_at"), table(spark, d, "keyframes"), table(spark, d, "vectors"))
+
+
+def p2_shots(spark, d):
+    return _shot_clusters(spark, d).select("cand_id", F.col("pivot").alias("cluster_id"))
+
+
+def p2_describe_shots(spark, d):
+    return _described(_shot_clusters(spark, d), "cand_id")
+
+
 def _fused(spark, d):
     rows = table(spark, d, "candidates").select("query_no", "cand_id", "raw", "ingested_at")
     return rank_fusion.fuse_maps(rows, "query_no", "cand_id", "raw", prepare=lambda x: latest(x, "cand_id", "ingested_at"))
@@ -68,7 +85,7 @@ def p6_found(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p2_found, p2_describe, p3_found, p3_scores, p5_found, p5_scores, p6_found)}
+    return {f.__name__: f for f in (p2_found, p2_describe, p2_shots, p2_describe_shots, p3_found, p3_scores, p5_found, p5_scores, p6_found)}
 
 
 # The channels of candidates.raw.

@@ -169,3 +169,37 @@ def test_frame_clusters_edges(spark):
 def test_described_clusters(spark, small):
     rows = training.p2_describe(spark, small).collect()
     assert rows and all(r["size"] >= len(r["typical"]) > 0 for r in rows)
+
+
+def test_shots_of_candidates_get_clusters(spark, small):
+    """Every latest candidate with a video, placed and compared by brute force; p2_describe_shots counts all of them."""
+    import pandas as pd
+
+    read = lambda t: pd.read_parquet(f"{small}/{t}.parquet")
+    c = read("candidates").sort_values("ingested_at", kind="stable").drop_duplicates("cand_id", keep="last")
+    k = read("keyframes").dropna(subset=["frame_idx"]).sort_values("n").drop_duplicates(["video_id", "frame_idx"])
+    frames = {v: g.sort_values("frame_idx") for v, g in k.groupby("video_id")}
+    unit = {}
+    for r in read("vectors").dropna(subset=["embedding"]).itertuples():
+        x = np.asarray(r.embedding, np.float64)
+        if np.linalg.norm(x) > 0:
+            unit[r.video_id, r.n] = x / np.linalg.norm(x)
+    shot = {}
+    for r in c[c["video_id"].notna()].itertuples():
+        at = r.anchor if not pd.isna(r.anchor) else (r.start_frame + r.end_frame) // 2
+        if r.video_id in frames and not pd.isna(at):
+            g = frames[r.video_id]
+            n = g["n"].to_numpy()[np.abs(g["frame_idx"].to_numpy() - at).argmin()]
+            if (r.video_id, n) in unit:
+                shot[r.cand_id] = (r.video_id, n)
+    keys = sorted(set(shot.values()))
+    v = np.stack([unit[x] for x in keys])
+    similar = dict(zip(keys, v @ v.T >= 0.92, strict=True))
+    got = {r["cand_id"]: r["cluster_id"] for r in training.p2_shots(spark, small).collect()}
+    assert got.keys() == shot.keys() and len(got) > 1000
+    lead = {x: min(y for y, s in zip(keys, similar[x], strict=True) if s) for x in keys}
+    by = defaultdict(set)
+    for i, p in got.items():
+        by[p].add(lead[shot[i]])
+    assert all(len(x) == 1 for x in by.values()) and len(by) == len(set(lead.values()))
+    assert sum(r["size"] for r in training.p2_describe_shots(spark, small).collect()) == len(shot)
