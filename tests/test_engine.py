@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.config import Config
 from sightline.operators import shots
 from sightline.plans.engine import Engine, encode_column, hash_encoder
 from sightline.plans.reference import docs_of, media_of, vectors_of
@@ -163,3 +164,31 @@ def test_devset_sampling(spark, small):
     assert sorted(map(tuple, drawn)) == sorted(map(tuple, devset.sample_targets(keyframes, {"kis": 12, "qa": 5}).collect()))
     truths = spark.createDataFrame([("a", "kis", "L1_V1"), ("b", "qa", "")], "query_id string, task string, video_id string")
     assert {r["task"]: r["annotated"] for r in devset.coverage_report(truths).collect()} == {"kis": 1, "qa": 0}
+
+
+def test_text_hits_far_from_the_query_keep_their_shots(spark):
+    """A whole-video hit stands for its 12 best shots, even if none of its keyframes is among the nearest; without vectors they are spread."""
+    raw, rng = "gốm Bát Tràng", np.random.default_rng(7)
+    q = hash_encoder(8)([raw])[0].astype(np.float64)
+    videos = [f"L21_V00{k}" for k in range(1, 7)]
+    keyframes = spark.createDataFrame([(v, n, n * 4.0, 25.0, n * 100) for v in videos for n in range(40)], "video_id string, n int, pts_time double, fps double, frame_idx int")
+    made = {(v, n): (-q if v == "L21_V001" else q) + rng.standard_normal(8) * 0.2 for v in videos[:5] for n in range(40)}
+    vectors = spark.createDataFrame([(*k, x.tolist()) for k, x in made.items()], "video_id string, n int, embedding array<float>")
+    docs = spark.createDataFrame([(k, v, "gốm Bát Tràng" if v in ("L21_V001", "L21_V006") else "tin thể thao", None, None) for k, v in enumerate(videos)], "doc_id long, video_id string, text string, start_frame int, end_frame int")
+    engine = Engine.over(spark, keyframes, vectors, docs, encoder=hash_encoder(8), config=Config(channel_depth=50))
+    found = engine.retrieve(spark.createDataFrame([("q", raw)], "query_id string, raw string"))
+    got = {}
+    for r in found["hits"].where("channel = 'sparse_text'").orderBy("rank").collect():
+        got.setdefault(r["video_id"], []).append(r["shot_id"])
+    own = {}
+    for r in engine.indexes.shots.collect():
+        own.setdefault(r["video_id"], []).append((r["shot_id"], r["start_frame"], r["end_frame"]))
+    best = {}
+    for n in range(40):
+        x = made["L21_V001", n]
+        s = next(s for s, a, b in own["L21_V001"] if a <= n * 100 <= b)
+        best[s] = max(best.get(s, -2.0), float(x @ q / np.linalg.norm(x) / np.linalg.norm(q)))
+    assert got.keys() == {"L21_V001", "L21_V006"}
+    assert got["L21_V001"] == sorted(best, key=lambda s: -best[s])[:12]
+    ids = sorted(s for s, *_ in own["L21_V006"])
+    assert got["L21_V006"] == ids[:: max(1, len(ids) // 12)][:12]
