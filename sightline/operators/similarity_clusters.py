@@ -32,7 +32,8 @@ from sightline.session import cut
 
 #: Rows that absorb each other before the shuffle, and records compared at a time within a bucket.
 CHUNK = 8192
-#: Two cross-polytope hashes of 64 dimensions: 16,384 buckets a table.  A third is added beyond MANY records.
+#: Two cross-polytope hashes of 64 dimensions: 16,384 buckets a table.  A third is added beyond MANY local leaders,
+#: and with it as many tables as keep the probability of missing a pair of cosine ``least``.
 MANY = 4_000_000
 TABLES = 16
 SEED = 20_011
@@ -58,6 +59,23 @@ def _bucket(vectors: np.ndarray, rotations: np.ndarray) -> np.ndarray:
     return code
 
 
+def _tables(tables: int, hashes: int, least: float, dim: int) -> int:
+    """Tables of ``hashes`` hashes that miss a lone pair of cosine ``least`` no more often than ``tables`` of two hashes do.
+
+    How often one hash takes both of a pair is counted on 20,000 random pairs.
+    """
+    if hashes == 2:
+        return tables
+    rng = np.random.default_rng(SEED)
+    a, b = rng.standard_normal((2, 20_000, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= np.einsum("ij,ij->i", a, b)[:, None] * a
+    b = least * a + np.sqrt(max(0.0, 1 - least * least)) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+    one = _rotations(dim, 1, 1)[0]
+    p = min(max(float((_bucket(a.astype(np.float32), one) == _bucket(b.astype(np.float32), one)).mean()), 1e-3), 1 - 1e-9)
+    return max(tables, int(np.ceil(tables * np.log1p(-(p**2)) / np.log1p(-(p**hashes)))))
+
+
 def absorb(vectors: np.ndarray, least: float, leaders: np.ndarray | None = None) -> np.ndarray:
     """For rows in hash order, the index of the pivot that absorbs each (a pivot: its own index).
 
@@ -199,7 +217,8 @@ def candidate_links(vectors: DataFrame, least: float, tables: int = TABLES, dim:
     spark = vectors.sparkSession
     local = cut(vectors.where(F.size("v") == dim).select("id", F.xxhash64("id").alias("o"), "v").mapInArrow(_local(least, dim), "id long, leader long, o long, v array<float>"))
     leaders = local.where("id = leader").select("id", "o", "v")
-    hashes = 2 if local.count() <= MANY else 3
+    hashes = 2 if leaders.count() <= MANY else 3
+    tables = _tables(tables, hashes, least, dim)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     expanded = leaders.mapInArrow(_expand(tables, hashes, dim), "code long, id long, o long, v array<float>")
     stars = expanded.repartition(parts, "code").sortWithinPartitions("code", "o").mapInArrow(_bucket_stars(least), "a long, b long")

@@ -203,3 +203,19 @@ def test_shots_of_candidates_get_clusters(spark, small):
         by[p].add(lead[shot[i]])
     assert all(len(x) == 1 for x in by.values()) and len(by) == len(set(lead.values()))
     assert sum(r["size"] for r in training.p2_describe_shots(spark, small).collect()) == len(shot)
+
+
+def test_a_third_hash_misses_no_more_pairs(spark, monkeypatch):
+    """Lone pairs at the threshold, their halves in different tasks, above the switch to three hashes."""
+    monkeypatch.setattr(similarity_clusters, "MANY", 0)
+    rng = np.random.default_rng(8)
+    a, b = rng.standard_normal((2, 1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= np.einsum("ij,ij->i", a, b)[:, None] * a
+    b = 0.922 * a + math.sqrt(1 - 0.922**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(at + k, x.tolist()) for at, m in ((0, a), (10_000, b)) for k, x in enumerate(m)]
+    halves = spark.createDataFrame(rows, "id long, v array<float>").repartitionByRange(2, "id")
+    _, links = similarity_clusters.candidate_links(halves, 0.92, dim=64)
+    found = {tuple(sorted((r["a"], r["b"]))) for r in links.collect()}
+    missed = sum((k, 10_000 + k) not in found for k in range(1500))
+    assert missed <= 0.02 * 1500, missed
