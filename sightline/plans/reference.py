@@ -391,6 +391,21 @@ def _shown(spark, d):
     return c.select("query_id", "video_id", F.col("anchor").alias("frame")).distinct()
 
 
+def _whole_candidates(spark, d):
+    """What loci and answers need of every usable candidate."""
+    return candidates_of(spark, d).select("query_id", "video_id", "rank", "fused_score", "start_frame", "end_frame", "anchor")
+
+
+def _whole_loci(c):
+    """As ``_loci``, of every usable candidate."""
+    return c.where("end_frame >= start_frame").select("query_id", "video_id", F.col("rank").alias("locus_id"), "start_frame", "end_frame", F.greatest("fused_score", F.lit(1e-9)).alias("weight"))
+
+
+def _whole_shown(c):
+    """As ``_shown``, of all answers that a query may show."""
+    return c.where((F.col("rank") <= config.MAX_ANSWERS) & F.col("anchor").isNotNull()).select("query_id", "video_id", F.col("anchor").alias("frame")).distinct()
+
+
 LOCI = f"{GOOD}, loci AS (SELECT qid AS query_id, video_id, rnk AS locus_id, start_frame, end_frame, greatest(fused_score, 1e-9) AS weight FROM cand WHERE end_frame >= start_frame AND rnk <= 50), shown AS (SELECT DISTINCT qid AS query_id, video_id, anchor AS frame FROM cand WHERE rnk <= 20 AND anchor IS NOT NULL)"
 # Counted frame by frame, on purpose: another way than the operator's.
 KAPPA = f"{LOCI}, cells AS (SELECT query_id, video_id, locus_id, count(DISTINCT cell) AS u FROM (SELECT query_id, video_id, locus_id, unnest(range(greatest(frame - 24, start_frame)::BIGINT, least(frame, end_frame)::BIGINT + 1)) AS cell FROM loci JOIN shown USING (query_id, video_id)) GROUP BY ALL), kap AS (SELECT query_id, video_id, least(1.0, sum(weight * coalesce(u, 0) / (end_frame - start_frame + 1)) / sum(weight)) AS kappa FROM loci LEFT JOIN cells USING (query_id, video_id, locus_id) GROUP BY ALL)"
@@ -406,6 +421,39 @@ def kappa_coverage(spark, d):
     return coverage.kappa(_loci(spark, d), _shown(spark, d)).select("query_id", "video_id", r6("kappa"))
 
 
+# The queries with SQL above and below look at the first 50 candidates and 20 answers; these have no SQL and no such limits.
+
+
+@query()
+def kappa_coverage_whole(spark, d):
+    c = cut(_whole_candidates(spark, d))
+    return coverage.kappa(_whole_loci(c), _whole_shown(c)).select("query_id", "video_id", r6("kappa"))
+
+
+@query()
+def hit_probability_whole(spark, d):
+    c = cut(_whole_candidates(spark, d))
+    return coverage.hit_probability(channels.video_scores(c), coverage.kappa(_whole_loci(c), _whole_shown(c))).select("query_id", r6("probability"))
+
+
+@query()
+def interval_union_measure_whole(spark, d):
+    return coverage.interval_union(_whole_loci(_whole_candidates(spark, d)), ["query_id", "video_id"])
+
+
+@query()
+def covering_frames_whole(spark, d):
+    f = coverage.covering_frames(F.col("start_frame"), F.col("end_frame"), 25)
+    return _whole_loci(_whole_candidates(spark, d)).select("query_id", "locus_id", F.get(f, F.lit(0)).alias("first_frame"), F.size(f).alias("frames"))
+
+
+@query()
+def expand_clip_locus_whole(spark, d):
+    rows = _whole_loci(_whole_candidates(spark, d)).join(fps_of(spark, d).select("video_id", "last_frame"), "video_id", "left")
+    lo, hi = coverage.expand_locus(F.col("start_frame"), F.col("end_frame"), 13, F.col("last_frame"))
+    return rows.select("query_id", "locus_id", lo.alias("lo"), hi.alias("hi"))
+
+
 @query(f"WITH {KAPPA}, {VSCORES.replace(GOOD + ', ', '')} SELECT query_id, round(least(1.0, sum(coalesce(pi, 0) * coalesce(kappa, 0))), 6) AS probability FROM pi LEFT JOIN kap USING (query_id, video_id) GROUP BY query_id")
 def hit_probability(spark, d):
     return coverage.hit_probability(channels.video_scores(candidates_of(spark, d)), coverage.kappa(_loci(spark, d), _shown(spark, d))).select("query_id", r6("probability"))

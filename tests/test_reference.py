@@ -250,3 +250,12 @@ def test_streams(spark, small, tmp_path):
     assert got.count() == want.count() and got.agg(F.sum("n")).first()[0] == batch.count()
     assert events.run_once(events.first_deliveries(stream), "firsts", str(tmp_path / "d"), "append").count() == batch.count()
     assert events.run_once(events.sessions(stream), "visits", str(tmp_path / "s"), "complete").agg(F.sum("n")).first()[0] == batch.count()
+
+
+@pytest.mark.parametrize("name", ["kappa_coverage", "hit_probability", "interval_union_measure", "covering_frames", "expand_clip_locus"])
+def test_whole_loci(spark, small, con, name):
+    """The SQL without its limits on rank, which counts frame by frame."""
+    sql = reference.oracle_sql()[name].replace(" AND rnk <= 50", "").replace("rnk <= 20 ", "rnk <= 100 ")
+    assert "rnk <= 50" not in sql and "rnk <= 20 " not in sql
+    assert gate.compare(spark, name, reference.queries()[f"{name}_whole"], sql, small, con) is None
+    assert gate.compare(spark, name, reference.queries()[name], sql, small, con) is not None
