@@ -378,6 +378,13 @@ def autocorrelation_by_lag(spark, d):
     return align.lag_similarity(good, 8, 10).select("video_id", "lag", r6("similarity"))
 
 
+@query()
+def autocorrelation_all_lags(spark, d):
+    """As above without SQL, for every lag up to half of the video, with the best one marked."""
+    good = vectors_of(spark, d).where(F.exists("embedding", lambda x: x != 0))
+    return align.all_lags(good).select("video_id", "lag", r6("similarity"), "is_period")
+
+
 # ---- coverage
 
 

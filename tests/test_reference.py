@@ -259,3 +259,21 @@ def test_whole_loci(spark, small, con, name):
     assert "rnk <= 50" not in sql and "rnk <= 20 " not in sql
     assert gate.compare(spark, name, reference.queries()[f"{name}_whole"], sql, small, con) is None
     assert gate.compare(spark, name, reference.queries()[name], sql, small, con) is not None
+
+
+def test_all_lags(spark, small):
+    """Every lag up to half of each video against plain products; a period above 10 is found."""
+    turn = [(v, n, [float(x) for x in np.eye(13)[n % 13]]) for v, t in (("long", 40), ("short", 15)) for n in range(t)]
+    made = spark.createDataFrame(turn, "video_id string, n int, embedding array<float>")
+    assert [(r["video_id"], r["lag"]) for r in align.all_lags(made).where("is_period").collect()] == [("long", 13)]
+    by = {}
+    for r in reference.vectors_of(spark, small).orderBy("video_id", "n").collect():
+        x = np.array(r["embedding"], np.float64)
+        if x.any():
+            by.setdefault(r["video_id"], []).append(x / np.linalg.norm(x))
+    want = {(v, k): float(np.mean([a @ b for a, b in zip(m, m[k:], strict=False)])) for v, m in by.items() for k in range(8, len(m) // 2 + 1)}
+    got = {(r["video_id"], r["lag"]): r for r in reference.autocorrelation_all_lags(spark, small).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k]["similarity"] - want[k]) < 2e-6 for k in want)
+    for v in {v for v, _ in want}:
+        best = max(k for k in want if k[0] == v and want[k] >= max(want[x] for x in want if x[0] == v) - 1e-8)
+        assert want[next(k for k in got if k[0] == v and got[k]["is_period"])] >= want[best] - 1e-6
