@@ -277,3 +277,40 @@ def test_all_lags(spark, small):
     for v in {v for v, _ in want}:
         best = max(k for k in want if k[0] == v and want[k] >= max(want[x] for x in want if x[0] == v) - 1e-8)
         assert want[next(k for k in got if k[0] == v and got[k]["is_period"])] >= want[best] - 1e-6
+
+
+def test_localized_channel_refines_the_first_shot(spark):
+    """The anchor of each video's first shot against the peak clusters written out; shots, ranks and scores stay."""
+    rng = np.random.default_rng(11)
+    frames = np.arange(40) * 60
+    rows, place = [], spark.createDataFrame([(v, k, k * 300, k * 300 + 299) for v in "abcd" for k in range(8)], "video_id string, shot_id int, start_frame int, end_frame int")
+    for q, clauses in (("two", 2), ("three", 3), ("one", 1)):
+        for v in "abcd":
+            m, full = rng.random((clauses, 40)), rng.random(40)
+            rows += [(q, v, n, int(frames[n]), m[:, n].tolist(), float(full[n])) for n in range(40)]
+    sims = spark.createDataFrame(rows, "query_id string, video_id string, n int, frame int, sims array<double>, full double")
+    got = {}
+    for r in align.localized_channel(align.neighbourhood(sims, 3), place).orderBy("rank").collect():
+        got.setdefault((r["query_id"], r["video_id"]), []).append(r)
+    moved = 0
+    for (q, v), own in got.items():
+        mine = [r for r in rows if r[:2] == (q, v)]
+        m, full = np.array([r[4] for r in mine]).T, np.array([r[5] for r in mine])
+        peaks = [(c, int(t)) for c in range(len(m)) for t in np.argsort(-m[c])[:12]]
+        best = None
+        for _, seed in peaks:
+            near = {c: max((t for k, t in peaks if k == c and abs(frames[t] - frames[seed]) <= 225), key=lambda t: m[c, t], default=None) for c in range(len(m))}
+            near = {c: t for c, t in near.items() if t is not None}
+            if len(near) >= 2:
+                mean, lo, hi = np.mean([m[c, t] for c, t in near.items()]), min(near.values()), max(near.values())
+                value = 0.75 * mean * len(near) / len(m) + 0.15 * mean + 0.1 * full[lo : hi + 1].max()
+                if best is None or value > best[0] + 1e-12:
+                    best = value, int(frames[lo + full[lo : hi + 1].argmax()])
+        if q == "one":
+            assert best is None
+        else:
+            assert own[0]["anchor"] == best[1]
+            moved += not any(r["shot_id"] == own[0]["shot_id"] and r["start_frame"] <= best[1] <= r["end_frame"] for r in place.where(F.col("video_id") == v).collect())
+        for r in own[1 if q != "one" else 0 :]:
+            assert r["anchor"] // 300 == r["shot_id"]
+    assert len(got) == 12 and moved > 0
