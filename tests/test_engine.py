@@ -192,3 +192,17 @@ def test_text_hits_far_from_the_query_keep_their_shots(spark):
     assert got["L21_V001"] == sorted(best, key=lambda s: -best[s])[:12]
     ids = sorted(s for s, *_ in own["L21_V006"])
     assert got["L21_V006"] == ids[:: max(1, len(ids) // 12)][:12]
+
+
+def test_a_light_locus_of_a_question_keeps_its_frames(spark, monkeypatch):
+    """A long, heavy locus has more than 48 frames of better score than any of the light one."""
+    keyframes = spark.createDataFrame([("L21_V001", n, n * 4.0, 25.0, n * 100) for n in range(40)], "video_id string, n int, pts_time double, fps double, frame_idx int")
+    engine = Engine.over(spark, keyframes, None, None)
+    found = {
+        "parsed": spark.createDataFrame([("q", "qa", [])], "query_id string, task string, moments array<string>"),
+        "candidates": spark.createDataFrame([("q", "L21_V001", 1, 0, 1, 1000, 2499, 2000, 10.0), ("q", "L21_V001", 2, 1, 0, 0, 49, 20, 0.1)], "query_id string, video_id string, rank int, cluster_id int, shot_id int, start_frame int, end_frame int, anchor int, fused_score double"),
+        "beliefs": spark.createDataFrame([("q", "L21_V001", 1.0)], "query_id string, video_id string, pi double"),
+    }
+    monkeypatch.setattr(Engine, "retrieve", lambda self, queries: found)
+    frames = [r["frame"] for r in engine.solve(None).collect()]
+    assert sum(f < 100 for f in frames) >= 3 and len(frames) > 48, (len(frames), sum(f < 100 for f in frames))
