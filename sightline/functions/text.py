@@ -11,7 +11,6 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sightline.functions.textform import _arrow_udf
 
 # Function words, template phrases, and words that frame a query.
 STOPWORDS = """
@@ -26,6 +25,17 @@ vài nữa kèm tạo cảm giác nổi bật chính đây đó sau lần lượ
 """.split()
 
 
+def arrow_udf(function):
+    """A Python function of one text as an Arrow function of a column; null stays null."""
+    import pyarrow as pa
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else function(t) for t in texts.to_pylist()], pa.string())
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "string")
+
+
 def _base_letters() -> tuple[str, str]:
     """Composed characters and the single base character that is left of each without its marks."""
     composed, base = [], []
@@ -46,7 +56,7 @@ def strip_diacritics(text: Column) -> Column:
 
 def compose(text: Column) -> Column:
     """NFC; only texts with a combining mark or a character that composing replaces leave the JVM."""
-    nfc = _arrow_udf(lambda t: unicodedata.normalize("NFC", t))
+    nfc = arrow_udf(lambda t: unicodedata.normalize("NFC", t))
     return F.coalesce(nfc(F.when(text.rlike("[\\p{M}\\u0340-\\u0345\\u0374\\u037e\\u0387\\u1100-\\u11ff\\u1f71-\\u1ffd\\u2000\\u2001\\u2126\\u212a\\u212b]"), text)), text)
 
 
