@@ -18,6 +18,7 @@ once; targets that are null or not positive ask for nothing.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,8 @@ from sightline.operators.versions import latest
 from sightline.session import cut
 
 SEED = 17
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Environment variable that names the byte-level vocabulary where a caller gives no path.
+TOKENIZER_VARIABLE = "SIGHTLINE_TOKENIZER"
 #: Fixed value: how the byte-level vocabulary splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -53,15 +55,22 @@ def _counter(path: str):
     return run
 
 
+def tokenizer_path(path: str | None = None) -> str:
+    path = path or os.environ.get(TOKENIZER_VARIABLE)
+    if not path:
+        raise ValueError(f"give the path of a tokenizer's vocabulary, or name it in {TOKENIZER_VARIABLE}")
+    return path
+
+
 def source_name(column) -> F.Column:
     return F.lower(F.trim(column))
 
 
-def token_counts(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def token_counts(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, source_name, tokens) of the documents whose source has a target, each once."""
     names = [r[0] for r in targets.select("source_name").collect()]  # one row per source, as many as a recipe names
     wanted = documents.where(F.col("doc_id").isNotNull() & (F.col("text") != "")).withColumn("source_name", source_name(F.col("source"))).where(F.col("source_name").isin(names))
-    counted = wanted.select("doc_id", "source_name", "text").mapInArrow(_counter(tokenizer), "doc_id long, source_name string, tokens long")
+    counted = wanted.select("doc_id", "source_name", "text").mapInArrow(_counter(tokenizer_path(tokenizer)), "doc_id long, source_name string, tokens long")
     return latest(counted, "doc_id", F.struct("source_name", "tokens"))
 
 
@@ -86,7 +95,7 @@ def budgets(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> l
     return out
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: str = TOKENIZER, seed: int = SEED) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: str | None = None, seed: int = SEED) -> DataFrame:
     """(doc_id, source_name, epoch, tokens, used): the documents of the mix, one row per use."""
     spark = documents.sparkSession
     wanted = clean_targets(targets)

@@ -3,28 +3,41 @@
 The statistics are taken over the whole text in consistent form, in one pass.  The
 classifier is gradient-boosted trees on them, trained on weakly labelled documents
 (annotators err and disagree); its score is calibrated by a logistic fit on a
-hand-checked holdout, the documents on which two annotators agree.
+holdout, documents on which two annotators agree: nothing here is checked by hand,
+and two judges of one mind come closest.  What is left of them tells how well the
+probabilities hold (``calibration``).
 
 Null and empty texts have zero statistics and are not prose, but no case either:
 ``not_prose`` leaves them out, as nothing of them is a list, a table or junk.
+A document delivered more than once comes out once; where its deliveries differ,
+the greatest statistics count, and the delivery that is least like prose.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zipfile
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.find_spark_home import _find_spark_home
 from pyspark.sql import functions as F
 
-from sightline.functions.textform import consistent_form
+from sightline.llm.textform import forms
+from sightline.operators.versions import latest
 from sightline.session import cut
 
-# Frequent function words of the two languages.
-COMMON_EN = "the of and to a in is that for it as was with on by at from an be this which or but not are were they who more than one when before there nobody while".split()
-COMMON_VI = "và của là có được cho trong các một những với ở không đã này khi từ đến người về sẽ cũng ra như lại vào bằng phải rồi vì bên chỉ thì mà nơi".split()
+# Function words of Vietnamese (pronouns, particles, prepositions, conjunctions, aspect and measure words).  The English ones come with Spark.
+COMMON_VI = """
+tôi ta mình anh chị em ông bà nó họ chúng ai gì nào đâu sao này đó kia ấy đây
+là có không chưa đã đang sẽ vừa mới còn vẫn cũng đều chỉ rất quá lắm hơn nhất nữa rồi
+và với hay hoặc nhưng mà thì nên vì do bởi nếu khi tuy để cho của bằng về từ đến tới tại ở trong ngoài trên dưới trước sau giữa bên qua theo như
+các những mọi mỗi một hai nhiều ít vài được bị phải ra vào lên xuống lại đi cái con chiếc người việc
+""".split()
 
 #: Bound on the labelled documents that the trees are fitted on, and on those that calibrate them.
 TRAIN_DOCS = 20_000
@@ -40,14 +53,13 @@ FEATURES = [
 ]
 _COLUMNS = ["words", *dict.fromkeys([*STATISTICS[1:], *FEATURES])]
 
-_COMMON = frozenset([*COMMON_EN, *COMMON_VI])
 _DIGIT, _SYMBOL = re.compile(r"\d"), re.compile(r"[^\w\s]|_")
 _BULLET = re.compile(r"\s*(?:[-*•▶+>·]|\d{1,3}[.):])\s*\S")
 _TAG, _SENTENCE = re.compile(r"<[^<>\n]{1,80}>"), re.compile(r"\w\w[.!?…](?=\s|$)")
 _CLOSERS = "\"”»)]' \t\r"
 
 
-def measure(text: str) -> tuple:
+def measure(text: str, common: frozenset[str]) -> tuple:
     """The values of ``words`` and of all statistics and features of one text in consistent form, in the order of _COLUMNS."""
     words = text.lower().split()
     n = len(words)
@@ -69,16 +81,32 @@ def measure(text: str) -> tuple:
     total = sum(map(len, lines))
     separators = text.count(",") + text.count("|") + text.count("\t") + text.count(";")
     return (
-        n, inked / n, len(_SYMBOL.findall(text)) / chars, ended / len(lines), sum(map(_COMMON.__contains__, words)) / n,
+        n, inked / n, len(_SYMBOL.findall(text)) / chars, ended / len(lines), sum(map(common.__contains__, words)) / n,
         len(_DIGIT.findall(text)) / chars, len(set(words)) / n, sum(w[0].isupper() for w in text.split()) / n, n / len(lines),
         short / total, bullet / total, ruled / total, structured / total, separators / n, len(_TAG.findall(text)) / n, len(_SENTENCE.findall(text)) / n, text.count("#") / n,
     )
 
 
-def _measurer(names: list[str]):
+@cache
+def english_words() -> tuple[str, ...]:
+    """The English stop words that Spark brings along, read from its library on the driver."""
+    for jar in sorted(Path(_find_spark_home()).glob("jars/spark-mllib_*.jar")):
+        with zipfile.ZipFile(jar) as z:
+            return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
+    from pyspark.ml.feature import StopWordsRemover
+
+    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+
+
+def common_words() -> frozenset[str]:
+    """Function words of the two languages."""
+    return frozenset([*english_words(), *COMMON_VI])
+
+
+def _measurer(names: list[str], common: frozenset[str], consistent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [measure(consistent_form(t)) for t in b["text"].to_pylist()]
+            rows = [measure(consistent(t), common) for t in b["text"].to_pylist()]
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, pa.int64() if k == "words" else pa.float64()) for k, c in zip(names, columns, strict=True))], names=["doc_id", *names])
 
@@ -88,12 +116,12 @@ def _measurer(names: list[str]):
 def _measured(documents: DataFrame) -> DataFrame:
     """(doc_id, words, statistics, features) in one pass, no shuffle; measured in Python, which is several times faster here than regular expressions in the JVM."""
     texts = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(_measurer(_COLUMNS), "doc_id long, words long, " + ", ".join(f"{c} double" for c in _COLUMNS[1:]))
+    return texts.mapInArrow(_measurer(_COLUMNS, common_words(), forms().consistent), "doc_id long, words long, " + ", ".join(f"{c} double" for c in _COLUMNS[1:]))
 
 
 def statistics(documents: DataFrame) -> DataFrame:
     """(doc_id, words, mean_word_length, symbol_share, punctuated_line_share, common_word_share) of every document."""
-    return _measured(documents).select("doc_id", *STATISTICS)
+    return latest(_measured(documents).select("doc_id", *STATISTICS), "doc_id", F.struct(*STATISTICS))
 
 
 def weak_labels(labels: DataFrame) -> DataFrame:
@@ -117,16 +145,24 @@ class ProseModel:
         lottery = F.xxhash64(F.lit(SEED), F.col("doc_id"))
         known = weak_labels(labels).withColumn("lot", lottery)
         held = F.col("agreed") & (F.pmod(F.shiftright("lot", 7), F.lit(1000)) < HOLDOUT * 1000)
-        chosen = known.where(~held).orderBy("lot").limit(train_docs).withColumn("use", F.lit("train")).unionByName(known.where(held).orderBy("lot").limit(calibration_docs).withColumn("use", F.lit("hold")))
-        # At most train_docs + calibration_docs rows of an id and a label: a bounded broadcast.
-        rows = cut(_measured(documents.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
+        chosen = known.where(~held).orderBy("lot").limit(train_docs).withColumn("use", F.lit("train")).unionByName(known.where(held).orderBy("lot").limit(2 * calibration_docs).withColumn("use", F.when(F.col("lot") % 2 == 0, "hold").otherwise("check")))
+        # At most train_docs + 2 * calibration_docs rows of an id and a label: a bounded broadcast.
+        measured = latest(_measured(documents.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text")), "doc_id", F.struct(*_COLUMNS))
+        rows = cut(measured.join(F.broadcast(chosen), "doc_id"))
         train = rows.where("use = 'train'")
         if train.select("label").distinct().count() < 2:
             return None
         few = _vector(train).select("features", "label").coalesce(4)
         trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=64, stepSize=0.2, subsamplingRate=0.8, seed=SEED, minInstancesPerNode=LEAST_IN_LEAF).fit(few)
         slope, offset = _calibrate([(r["m"], r["label"]) for r in cls(trees, 1.0, 0.0).margins(rows.where("use = 'hold'"), "label").collect()])
-        return cls(trees, slope, offset)
+        model = cls(trees, slope, offset)
+        model.checked = rows.where("use = 'check'")
+        return model
+
+    def calibration(self, bins: int = 10) -> DataFrame:
+        """(bin, documents, predicted, observed) over agreed documents that neither the trees nor the calibration have seen."""
+        scored = self.score(self.checked, "label").withColumn("bin", F.least(F.floor(F.col("not_prose") * bins), F.lit(bins - 1)).cast("int"))
+        return scored.groupBy("bin").agg(F.count("*").alias("documents"), F.avg("not_prose").alias("predicted"), F.avg("label").alias("observed"))
 
     def margins(self, measured: DataFrame, *keep: str) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
@@ -173,4 +209,5 @@ def not_prose(documents: DataFrame, labels: DataFrame, least: float = 0.5) -> Da
     model = ProseModel.fit(documents, labels)
     if model is None:
         return documents.select("doc_id", F.lit(0.0).alias("not_prose")).where("false")
-    return model.score(_measured(documents).where("words > 0"), "doc_id").where(F.col("not_prose") >= least)
+    found = model.score(_measured(documents).where("words > 0"), "doc_id").where(F.col("not_prose") >= least)
+    return found.groupBy("doc_id").agg(F.max("not_prose").alias("not_prose"))

@@ -17,8 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.textform import form_column
+from sightline.llm.textform import form_column
 from sightline.operators.versions import latest
+from sightline.session import cut
 
 LEAST_DOCUMENTS = 8
 
@@ -63,7 +64,7 @@ def repeated_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> D
     The lookup key holds the word, at most 64 documents, so a line that fills a
     third of a site is spread like any other.
     """
-    lines = lines_of(docs)
+    lines = cut(lines_of(docs))  # texts are formed and split once
     found = lines.join(above(bitmaps(lines), least_documents), ["key", "check", "word"])
     return found.where("(shiftright(bits, bit) & 1L) = 1").select("doc_id", "line_no", "documents").distinct()
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.functions.textform import consistent_form
+from sightline.llm.textform import consistent_form
 from sightline.llm import leakage, lookalikes, mixing, quality, queries, repeated_lines
 
 
@@ -68,6 +68,16 @@ def test_lookalike_pairs(spark):
     assert lookalikes.lookalike_pairs(lookalikes.keyed(both.where("false"))).count() == 0
 
 
+def test_lookalike_classes_count_links(spark, monkeypatch):
+    rows = [(k, "Đoàn" if k % 3 else "Ðoàn") for k in range(60)] + [(100, "một"), (101, "một"), (102, None)]
+    hashes = lookalikes.keyed(lookalikes.consistent(spark.createDataFrame(rows, "k long, t string"), "k", "t", "doc"))
+    got = {r["record_key"]: (r["class_key"], r["links"]) for r in lookalikes.lookalike_classes(hashes).collect()}
+    assert got == {k: (0, 20 if k % 3 else 40) for k in range(60)}
+    monkeypatch.setattr(lookalikes, "SALT_ROWS", 7)
+    pairs = lookalikes.lookalike_pairs(hashes).collect()
+    assert len(pairs) == len(set(map(tuple, pairs))) == 20 * 40
+
+
 def test_lookalikes_on_the_table(spark, medium):
     want = set()
     for kind, table, key, col in (("doc", "docs", "doc_id", "text"), ("query", "queries", "query_no", "raw")):
@@ -125,6 +135,23 @@ def test_leaks_on_the_table(spark, medium):
     assert {tuple(r) for r in queries.p7_found(spark, medium).collect()} == brute_leaks(docs, items)
 
 
+def test_short_items_match_as_a_whole(spark):
+    items = [(1, "một con mèo đen"), (2, "hai"), (3, " ".join(f"w{k}" for k in range(30)))]
+    docs = [(1, "ở đây có MỘT con mèo đen, và hai"), (2, "một con mèo trắng"), (3, "x " + " ".join(f"w{k}" for k in range(8, 20))), (4, " ".join(f"w{k}" for k in range(11)))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, leakage.leaked_items(d, i).collect())) == [(3, 3)]
+    assert sorted(map(tuple, leakage.leaked_items(d, i, least_words=3).collect())) == [(1, 1), (3, 3)]
+    assert sorted(map(tuple, leakage.leaked_items(d, i, least_words=1).collect())) == [(1, 1), (1, 2), (3, 3)]
+
+
+def test_overlap_with_body_and_question(spark):
+    body, asked = [f"b{k}" for k in range(20)], [f"q{k}" for k in range(14)]
+    items = [(1, " ".join(body) + "; " + " ".join(asked) + "?"), (2, " ".join(body))]
+    docs = [(1, "x " + " ".join(body[3:18])), (2, " ".join(asked) + " y"), (3, " ".join(body + asked)), (4, " ".join(body[10:] + asked[:5]))]
+    got = {tuple(r) for r in leakage.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1, 34, 15, 14, 0), (1, 2, 20, 15, 0, 0), (2, 1, 34, 14, 14, 14), (3, 1, 34, 34, 14, 14), (3, 2, 20, 20, 0, 0), (4, 1, 34, 15, 14, 5)}
+
+
 def test_thresholds_are_lower_bounds():
     rng = random.Random(3)
     texts = [[f"w{rng.randrange(30)}" for _ in range(40)] for _ in range(33)]
@@ -135,7 +162,7 @@ def test_thresholds_are_lower_bounds():
         codes = np.array([index.vocabulary[w] for w in t])
         for a in range(29):
             assert index.rows(codes[a : a + 12], np.array([block])).sum(0)[place % leakage.BLOCK] >= index.threshold[place]
-            assert index.block_impact[codes[a : a + 12], block].sum() >= index.threshold[place]
+            assert block in index.opened(codes[a : a + 12])
         assert place in index.find(["x", *t[5:17], "y"])
 
 
@@ -145,7 +172,7 @@ def test_thresholds_are_lower_bounds():
 def mixed(spark, docs, targets, **kw):
     d = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("tokens", F.lit("clash"))
     t = spark.createDataFrame(targets, "source_name string, target_share double, max_repeats int")
-    m = mixing.mix(d, t, **kw)
+    m = mixing.mix(d, t, tokenizer=queries.TOKENIZER, **kw)
     return m.collect(), {r["source_name"]: r for r in mixing.reached(m, t).collect()}
 
 
@@ -173,7 +200,7 @@ def test_mix_cut_is_the_prefix_of_the_hash_order(spark):
     docs = [(k, "a", "từ " * (k % 7 + 1)) for k in range(300)]
     rows, _ = mixed(spark, docs, [("a", 1.0, 2)], total=500)
     keys = spark.createDataFrame([(k,) for k in range(300)], "k long").select("k", F.xxhash64(F.lit(mixing.SEED), "k").alias("h")).orderBy("h", "k").collect()
-    encode = mixing._tokenizer(mixing.TOKENIZER).encode_ordinary
+    encode = mixing._tokenizer(queries.TOKENIZER).encode_ordinary
     left, want = 500, {}
     for k, _ in keys:
         take = min(left, len(encode("từ " * (k % 7 + 1))))
@@ -196,7 +223,7 @@ def test_statistics(spark):
     rows = {r["doc_id"]: r for r in quality.statistics(spark.createDataFrame([*texts.items()], "doc_id long, text string").withColumn("words", F.lit("clash"))).collect()}
     one = rows[1]
     assert one["words"] == 11 and abs(one["mean_word_length"] - 32 / 11) < 1 and one["punctuated_line_share"] == 0.5
-    assert abs(one["common_word_share"] - 5 / 11) < 1e-9 and abs(one["symbol_share"] - 2 / 43) < 0.01
+    assert one["common_word_share"] == sum(w in quality.common_words() for w in "the cat sat. it was on the mat! no end here".split()) / 11 and abs(one["symbol_share"] - 2 / 43) < 0.01
     assert rows[2]["words"] == rows[3]["words"] == 0 and rows[4]["symbol_share"] > 0.8 and rows[5]["mean_word_length"] == 200_000
 
 
@@ -218,6 +245,19 @@ def test_classifier_on_held_out_labels(spark):
     assert len(scored) > 100 and right / len(scored) > 0.97
 
 
+def test_calibration_holds(spark):
+    """Predicted and observed shares of documents that the model has not seen, over all bins."""
+    d = "/root/testdata/sf0.1"
+    rows = quality.ProseModel.fit(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/doc_labels.parquet")).calibration().collect()
+    n = sum(r["documents"] for r in rows)
+    assert n > 50 and sum(r["documents"] * abs(r["predicted"] - r["observed"]) for r in rows) / n < 0.05
+
+
+def test_documents_given_twice_come_out_once(spark):
+    docs = spark.createDataFrame([(1, "A cat sat on the mat."), (1, "A cat sat on the mat."), (2, "x")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in quality.statistics(docs).collect()) == [1, 2]
+
+
 def test_classifier_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert quality.not_prose(docs, spark.createDataFrame([], "doc_id long, annotator string, kind string")).count() == 0
