@@ -15,7 +15,7 @@ import gate
 from sightline.config import weights_for
 from sightline.functions import text
 from sightline.operators import align, channels, coverage, review, scoring, shots
-from sightline.plans import parse, reference, training
+from sightline.plans import parse, reference
 
 
 @pytest.fixture(scope="module")
@@ -23,9 +23,9 @@ def con(small):
     return gate.duck(small)
 
 
-@pytest.mark.parametrize("name", [*training.oracle_sql(), *reference.oracle_sql()])
+@pytest.mark.parametrize("name", [*reference.oracle_sql()])
 def test_query_equals_sql(spark, small, con, name):
-    both = {**training.queries(), **reference.queries()}, {**training.oracle_sql(), **reference.oracle_sql()}
+    both = reference.queries(), reference.oracle_sql()
     assert gate.compare(spark, name, both[0][name], both[1][name], small, con) is None
 
 
