@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import json
+import os
+from dataclasses import MISSING, dataclass, field, fields, replace
+from pathlib import Path
 
 # Fixed values of the scoring rule and the channels.
 THRESHOLDS = (1, 5, 20, 50, 100)
@@ -47,6 +50,10 @@ class Config:
     localize_videos: int = 100
     localize_shots: int = 4
     context_frames: int = 225
+    frames_per_locus: int = 4
+    review_videos: int = 50
+    review_most: int = 60
+    review_per_channel: int = 2
     seed: int = 2026
     answer_len: dict = field(default_factory=lambda: {"kis": 25, "qa": 25, "trake": 10})
 
@@ -54,6 +61,21 @@ class Config:
         return replace(self, **changes)
 
 
+def load_config(path: str | None = None, **changes) -> Config:
+    """Defaults, then the JSON object in the file at ``path``, then SIGHTLINE_<KNOB> variables, then ``changes``; later ones win.
+
+    Unknown knobs and a path without a file raise.
+    """
+    known = {f.name: f.default if f.default is not MISSING else f.default_factory() for f in fields(Config)}
+    said = json.loads(Path(path).read_text(encoding="utf-8-sig")) if path else {}
+    said |= {k: json.loads(os.environ[v]) for k in known if (v := f"SIGHTLINE_{k.upper()}") in os.environ}
+    said |= {k: v for k, v in changes.items() if v is not None}
+    strange = {*said} - {*known}
+    if strange:
+        raise ValueError(f"no such settings: {sorted(strange)}")
+    return Config(**{k: {**known[k], **v} if isinstance(known[k], dict) else type(known[k])(v) for k, v in said.items()})
+
+
 def weights_for(task: str, *, named_entity: bool = False, visual_only: bool = False, translation: bool = False, overrides: dict | None = None) -> dict[str, float]:
     """Channel weights of a kind of query."""
     weights = {**WEIGHTS, **(WITH_TRANSLATION if translation else {})}

@@ -90,11 +90,17 @@ def diagnostics(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("query_id").agg(F.count("*").alias("candidates"), F.countDistinct("video_id").alias("videos"), F.count_if(F.size("ranks") >= 2).alias("agreed"))
 
 
+def recall_scores(base_hits: DataFrame, eta: float = 60.0, weights: DataFrame | None = None) -> DataFrame:
+    """(query_id, video_id, video_rank, score): every video that any whole-corpus channel found, by the fusion of their video rankings; scores add up to 1."""
+    fused = fuse(video_hits(base_hits), weights, eta)
+    return fused.select("query_id", "video_id", F.col("rank").alias("video_rank"), (F.col("fused_score") / F.sum("fused_score").over(Window.partitionBy("query_id"))).alias("score"))
+
+
 def recall_pool(base_hits: DataFrame, candidates: DataFrame, videos: int = 300, eta: float = 60.0, weights: DataFrame | None = None) -> DataFrame:
-    """(query_id, video_id, video_rank, shot_id, recall_only): the best shot of each of the first videos of the video-level fusion."""
-    pool = fuse(video_hits(base_hits), weights, eta).where(F.col("rank") <= videos).select("query_id", "video_id", F.col("rank").alias("video_rank"))
-    place = F.row_number().over(Window.partitionBy("query_id", "video_id").orderBy("rank", "channel", "shot_id"))
-    shots = base_hits.withColumn("n", place).where("n = 1").select("query_id", "video_id", "shot_id")
+    """(query_id, video_id, video_rank, shot_id, fused_score, ranks, raw, recall_only): the first shot, in fused order, of each of the first videos."""
+    pool = recall_scores(base_hits, eta, weights).where(F.col("video_rank") <= videos).select("query_id", "video_id", "video_rank")
+    place = F.row_number().over(Window.partitionBy("query_id", "video_id").orderBy("rank"))
+    shots = fuse(base_hits, weights, eta).withColumn("n", place).where("n = 1").select("query_id", "video_id", "shot_id", "fused_score", "ranks", "raw")
     known = candidates.select("query_id", "video_id").distinct().withColumn("known", F.lit(True))
     return pool.join(shots, ["query_id", "video_id"]).join(known, ["query_id", "video_id"], "left").withColumn("recall_only", F.col("known").isNull()).drop("known")
 

@@ -7,7 +7,6 @@ beliefs(query_id, video_id, pi), frames(query_id, video_id, frame).
 from __future__ import annotations
 
 import heapq
-from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.config import MAX_ANSWERS, THRESHOLDS
+from sightline.session import cut
 
 
 def interval_union(intervals: DataFrame, keys: list[str], start: str = "start_frame", end: str = "end_frame") -> DataFrame:
@@ -81,29 +81,46 @@ def build_loci(candidates: DataFrame, fps: DataFrame, pad_seconds: float = 0.5)
     return rows.select("query_id", "video_id", locus.alias("locus_id"), lo.alias("start_frame"), hi.alias("end_frame"), (F.greatest("fused_score", F.lit(1e-9)) / share).alias("weight"), "anchor")
 
 
-def frame_pool(loci: DataFrame, beliefs: DataFrame, answer_len: int = 25, least: int = MAX_ANSWERS) -> DataFrame:
+def coverage_of(frames: list[int], start: int, end: int, answer_len: int) -> float:
+    """Share of the closed range that the answer spans of ``frames`` cover."""
+    covered = set().union(*(range(max(start, f - answer_len + 1), min(end, f) + 1) for f in frames))
+    return len(covered) / (end - start + 1) if end >= start else 0.0
+
+
+def slots_needed(loci: DataFrame, fps: DataFrame, answer_len: int = 25) -> DataFrame:
+    """(query_id, video_id, locus_id, frames, seconds, slots): how many answers a locus takes until it is covered for certain."""
+    length = F.col("end_frame") - F.col("start_frame") + 1
+    rows = loci.join(fps.select("video_id", "fps"), "video_id", "left")
+    return rows.select("query_id", "video_id", "locus_id", length.alias("frames"), F.round(length / F.coalesce("fps", F.lit(25.0)), 6).alias("seconds"), F.greatest(F.lit(1), F.ceil(length / answer_len)).cast("int").alias("slots"))
+
+
+def frame_pool(loci: DataFrame, beliefs: DataFrame, answer_len: int = 25, least: int = MAX_ANSWERS, per_locus: int | None = None) -> DataFrame:
     """(query_id, video_id, frame, score): frames that cover each locus, the anchor first; the best score of a frame counts.
 
-    A query whose pool is smaller than ``least`` is spread at half the step, down to
-    1; all steps are laid out at once and the widest sufficient one is kept.
+    A query whose pool is smaller than ``least`` is spread again at half the step, and
+    so on down to 1; only such queries are laid out again.  ``per_locus`` keeps that
+    many frames of a locus.
     """
-    steps, step = [], answer_len
-    while step >= 1:
-        steps.append(step)
-        step //= 2
-    rows = loci.join(beliefs, ["query_id", "video_id"])
-    pools = None
-    for at, step in enumerate(steps):
-        inside = F.col("anchor").between(F.col("start_frame"), F.col("end_frame"))
+    rows = loci.join(beliefs, ["query_id", "video_id"]).select("query_id", "video_id", "start_frame", "end_frame", "weight", "anchor", "pi")
+    inside = F.col("anchor").between(F.col("start_frame"), F.col("end_frame"))
+
+    def laid_out(rows: DataFrame, step: int) -> DataFrame:
         frames = covering_frames(F.col("start_frame"), F.col("end_frame"), step)
         listed = F.when(inside, F.array_distinct(F.concat(F.array("anchor"), frames))).otherwise(frames)
-        each = rows.select("query_id", "video_id", "pi", "weight", F.posexplode(listed).alias("k", "frame")).groupBy("query_id", "video_id", "frame").agg(F.max(F.col("pi") * F.col("weight") / (F.col("k") + 1)).alias("score"))
-        each = each.withColumn("at", F.lit(at))
-        pools = each if pools is None else pools.unionByName(each)
-    size = F.count("*").over(Window.partitionBy("query_id", "at"))
-    enough = pools.withColumn("size", size).withColumn("fits", (F.col("size") >= least) | (F.col("at") == len(steps) - 1))
-    chosen = F.min(F.when(F.col("fits"), F.col("at"))).over(Window.partitionBy("query_id"))
-    return enough.withColumn("chosen", chosen).where("at = chosen").select("query_id", "video_id", "frame", "score")
+        if per_locus is not None:
+            listed = F.slice(listed, 1, per_locus)
+        each = rows.select("query_id", "video_id", "pi", "weight", F.posexplode(listed).alias("k", "frame"))
+        return each.groupBy("query_id", "video_id", "frame").agg(F.max(F.col("pi") * F.col("weight") / (F.col("k") + 1)).alias("score"))
+
+    step, pool = answer_len, laid_out(rows, answer_len)
+    while step > 1 and least > 1:
+        step //= 2
+        pool = cut(pool)
+        small = cut(pool.groupBy("query_id").count().where(F.col("count") < least).select("query_id"))
+        if small.isEmpty():
+            break
+        pool = pool.join(small, "query_id", "left_anti").unionByName(laid_out(rows.join(small, "query_id", "left_semi"), step))
+    return pool
 
 
 class _Covered:
@@ -137,7 +154,7 @@ def lazy_greedy(candidates: list[tuple], gain_of, take, budget: int, seeds: list
     ``candidates`` are (score, ...); an entry is taken only when its gain was worked
     out after the latest choice.  ``seeds`` come first.  Gives (index, gain, source).
     """
-    chosen, done, clock = [], set(), count()
+    chosen, done = [], set()
     for k in list(dict.fromkeys(seeds))[:budget]:
         chosen.append((k, gain_of(k), "seed"))
         take(k)
@@ -146,7 +163,6 @@ def lazy_greedy(candidates: list[tuple], gain_of, take, budget: int, seeds: list
     heapq.heapify(heap)
     while heap and len(chosen) < budget:
         gain, score, k, when = heapq.heappop(heap)
-        next(clock)
         if when == len(chosen):
             chosen.append((k, -gain, "greedy"))
             take(k)
@@ -155,6 +171,22 @@ def lazy_greedy(candidates: list[tuple], gain_of, take, budget: int, seeds: list
     return chosen
 
 
+def localized_seeds(candidates: DataFrame, beliefs: DataFrame, pool: DataFrame, most: int = 20) -> DataFrame:
+    """(query_id, video_id, frame, seed): answers to place first, one a video and at most ``most`` a query.
+
+    Anchors of candidates that the localised channel found, in its order; places left
+    go to the best frames in ``pool`` of the likeliest other videos.
+    """
+    rank = F.try_element_at("ranks", F.lit("dense_localized"))
+    best = candidates.where(rank.isNotNull()).groupBy("query_id", "video_id").agg(F.min(F.struct(rank.alias("rank"), (-F.col("fused_score")).alias("minus"), "shot_id", "anchor")).alias("b"))
+    exact = best.select("query_id", "video_id", F.col("b.anchor").alias("frame"), F.lit(0).alias("kind"), F.col("b.rank").cast("double").alias("a"), F.col("b.minus").alias("b"))
+    top = pool.groupBy("query_id", "video_id").agg(F.max_by("frame", F.struct("score", (-F.col("frame")).alias("minus"))).alias("frame"))
+    other = beliefs.join(best.select("query_id", "video_id"), ["query_id", "video_id"], "left_anti").join(top, ["query_id", "video_id"])
+    both = exact.unionByName(other.select("query_id", "video_id", "frame", F.lit(1).alias("kind"), (-F.col("pi")).alias("a"), F.lit(0.0).alias("b")))
+    order = Window.partitionBy("query_id").orderBy("kind", "a", "b", "video_id")
+    return both.withColumn("seed", F.row_number().over(order)).where(F.col("seed") <= most).select("query_id", "video_id", "frame", "seed")
+
+
 ALLOCATION = "query_id string, rank int, video_id string, frame int, answer string, gain double, cumulative double, source string"
 
 

@@ -146,6 +146,31 @@ def shot_stats(shots: DataFrame) -> DataFrame:
     return at.groupBy("kind").agg(F.sum("c").alias("shots"), F.round(F.sum(F.col("length") * F.col("c")) / F.sum("c"), 6).alias("mean"), pick(0.5).alias("median"), pick(0.9).alias("p90"))
 
 
+def shot_length_shares(shots: DataFrame, fps: DataFrame, short: float = 2.0, long: float = 20.0) -> DataFrame:
+    """(shots, mean_s, median_s, p90_s, p99_s, longest_s, under_pct, over_pct) of shot lengths in seconds; medians and such as the element at int(p * n)."""
+    rows = shots.join(fps.select("video_id", "fps"), "video_id", "left").select(F.round((F.col("end_frame") - F.col("start_frame") + 1) / F.coalesce("fps", F.lit(25.0)), 6).alias("s"))
+    by = rows.groupBy("s").agg(F.count("*").alias("c"))
+    # The distinct lengths are few and in one order: their running count is one small window.
+    at = by.withColumn("upto", F.sum("c").over(Window.orderBy("s"))).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    pick = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("n") * F.lit(p)), F.col("s")))
+    share = lambda where: F.round(100.0 * F.sum(F.when(where, F.col("c")).otherwise(0)) / F.sum("c"), 6)
+    return at.agg(
+        F.sum("c").alias("shots"), F.round(F.sum(F.col("s") * F.col("c")) / F.sum("c"), 6).alias("mean_s"), pick(0.5).alias("median_s"), pick(0.9).alias("p90_s"), pick(0.99).alias("p99_s"), F.max("s").alias("longest_s"),
+        share(F.col("s") < short).alias("under_pct"), share(F.col("s") > long).alias("over_pct"),
+    )
+
+
+def window_hit_rate(keyframes: DataFrame, window: int = 10) -> DataFrame:
+    """(rate): how likely a window of so many frames holds a keyframe, by the mean gap."""
+    return gaps(keyframes).agg(F.round(F.least(F.lit(1.0), window / F.avg("gap")), 6).alias("rate"))
+
+
+def vector_shapes(vectors: DataFrame) -> DataFrame:
+    """(dim, kind, videos, vectors): how many videos and vectors of each length; a null vector has none."""
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    return vectors.groupBy(F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim"), F.lit(kind).alias("kind")).agg(F.countDistinct("video_id").alias("videos"), F.count("*").alias("vectors"))
+
+
 def check_convention(keyframes: DataFrame) -> DataFrame:
     """Per video: keyframes, matches of floor, round and ceil, distinct fps, repeated frame_idx, and whether pts rises."""
     w = Window.partitionBy("video_id").orderBy("n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sightline import config
 from sightline.functions import text
 from sightline.functions.vector import cosine
-from sightline.operators import align, channels, coverage, dense, review, scoring, shots, text_search
+from sightline.operators import align, channels, coverage, dense, devset, review, scoring, shots, text_search
 from sightline.operators.versions import latest
 from sightline.plans import parse
 from sightline.session import cut, table
@@ -59,23 +59,10 @@ def vectors_of(spark, d):
     return table(spark, d, "vectors").where("embedding is not null").groupBy("video_id", "n").agg(F.max("embedding").alias("embedding"))
 
 
-def media_of(spark, d):
-    return latest(table(spark, d, "media_info"), "video_id", "crawled_at")
-
-
 def fps_of(spark, d):
     return table(spark, d, "keyframes").groupBy("video_id").agg(F.max(F.when(F.col("fps") > 0, F.col("fps"))).alias("fps"), F.max("frame_idx").alias("last_frame"))
 
 
-def media_sql(columns):
-    return f"media AS (SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY crawled_at DESC NULLS LAST) AS rn FROM media_info WHERE video_id IS NOT NULL) WHERE rn = 1)"
-
-
-def media_agreed(spark, d):
-    """Media rows whose newest delivery is unique in what a query uses: any of several alike."""
-    return table(spark, d, "media_info")
-
-
 # ---- SQL fragments
 
 ONE_DOCS = "one AS (SELECT doc_id, any_value(video_id) AS video_id, any_value(text) AS text FROM docs WHERE doc_id IS NOT NULL GROUP BY doc_id)"
@@ -240,10 +227,9 @@ def channel_diagnostics(spark, d):
     return channels.diagnostics(candidates_of(spark, d))
 
 
-@query(f"WITH {HITS}, {VIDEO_HITS}, fused AS (SELECT query_id, video_id, round(sum(1 / (60.0 + rank)), 12) AS s, count(*) AS c FROM vhits WHERE rank <= 2000 GROUP BY ALL), pool AS (SELECT query_id, video_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, c DESC, '(''' || video_id || ''', 0)') AS video_rank FROM fused QUALIFY video_rank <= 300), capped AS (SELECT DISTINCT CAST(query_no AS VARCHAR) AS query_id, video_id, true AS known FROM latest WHERE video_id IS NOT NULL AND fused_score > 0.2 AND NOT isnan(fused_score)) SELECT query_id, video_id, video_rank, known IS NULL AS recall_only FROM pool LEFT JOIN capped USING (query_id, video_id)")
+@query(f"WITH {HITS}, {VIDEO_HITS}, fused AS (SELECT query_id, video_id, round(sum(1 / (60.0 + rank)), 12) AS s, count(*) AS c FROM vhits WHERE rank <= 2000 GROUP BY ALL), pool AS (SELECT query_id, video_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, c DESC, '(''' || video_id || ''', 0)') AS video_rank FROM fused QUALIFY video_rank <= 300), capped AS (SELECT DISTINCT CAST(query_no AS VARCHAR) AS query_id, video_id, true AS known FROM (SELECT query_no, video_id, row_number() OVER (PARTITION BY query_no ORDER BY fused_score DESC, cand_id) AS rnk, row_number() OVER (PARTITION BY query_no, video_id ORDER BY fused_score DESC, cand_id) AS k FROM latest WHERE video_id IS NOT NULL AND query_no IS NOT NULL AND fused_score IS NOT NULL AND NOT isnan(fused_score)) WHERE k <= 12 QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY rnk) <= 500) SELECT query_id, video_id, video_rank, known IS NULL AS recall_only FROM pool LEFT JOIN capped USING (query_id, video_id)")
 def recall_only_antijoin(spark, d):
-    strong = candidates_of(spark, d).where("fused_score > 0.2")
-    return channels.recall_pool(hits_of(spark, d), strong).select("query_id", "video_id", "video_rank", "recall_only")
+    return channels.recall_pool(cut(hits_of(spark, d)), channels.cap_per_video(candidates_of(spark, d))).select("query_id", "video_id", "video_rank", "recall_only")
 
 
 @query(f"WITH {GOOD} SELECT channel, count(*) AS candidates, count(DISTINCT qid) AS queries, min(rank) AS best, round(avg(rank), 6) AS mean FROM (SELECT qid, e.key AS channel, e.value AS rank FROM (SELECT qid, unnest(map_entries(ranks)) AS e FROM cand)) GROUP BY channel")
@@ -372,15 +358,9 @@ def neighbour_cosine(spark, d):
     return v.join(b, ["video_id", "n"]).select("video_id", "n", r6(cosine("embedding", "next"), "similarity")).where("similarity is not null")
 
 
-@query(f"WITH {VECS}, p AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY n) AS t, embedding FROM vecs WHERE list_sum(list_transform(embedding, lambda x: abs(x))) > 0) SELECT a.video_id, b.t - a.t AS lag, round(avg({COSINE}), 6) AS similarity FROM p a JOIN p b ON a.video_id = b.video_id AND b.t - a.t BETWEEN 8 AND 10 GROUP BY ALL")
+@query(f"WITH {VECS}, p AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY n) AS t, count(*) OVER (PARTITION BY video_id) AS size, embedding FROM vecs WHERE list_sum(list_transform(embedding, lambda x: abs(x))) > 0), l AS (SELECT a.video_id, CAST(b.t - a.t AS INTEGER) AS lag, avg({COSINE}) AS s FROM p a JOIN p b ON a.video_id = b.video_id AND b.t - a.t BETWEEN 8 AND a.size // 2 WHERE a.size >= 16 GROUP BY ALL) SELECT video_id, lag, round(s, 6) AS similarity, row_number() OVER (PARTITION BY video_id ORDER BY round(s, 9) DESC, lag) = 1 AS is_period FROM l")
 def autocorrelation_by_lag(spark, d):
-    good = vectors_of(spark, d).where(F.exists("embedding", lambda x: x != 0))
-    return align.lag_similarity(good, 8, 10).select("video_id", "lag", r6("similarity"))
-
-
-@query()
-def autocorrelation_all_lags(spark, d):
-    """As above without SQL, for every lag up to half of the video, with the best one marked."""
+    """Every lag up to half of the video, the best one marked."""
     good = vectors_of(spark, d).where(F.exists("embedding", lambda x: x != 0))
     return align.all_lags(good).select("video_id", "lag", r6("similarity"), "is_period")
 
@@ -388,32 +368,25 @@ def autocorrelation_all_lags(spark, d):
 # ---- coverage
 
 
-def _loci(spark, d):
-    c = candidates_of(spark, d).where("end_frame >= start_frame and rank <= 50")
-    return c.select("query_id", "video_id", F.col("rank").alias("locus_id"), "start_frame", "end_frame", F.greatest("fused_score", F.lit(1e-9)).alias("weight"))
-
-
-def _shown(spark, d):
-    c = candidates_of(spark, d).where("rank <= 20 and anchor is not null")
-    return c.select("query_id", "video_id", F.col("anchor").alias("frame")).distinct()
+def _loci_of(c):
+    return c.where("end_frame >= start_frame").select("query_id", "video_id", F.col("rank").alias("locus_id"), "start_frame", "end_frame", F.greatest("fused_score", F.lit(1e-9)).alias("weight"))
 
 
-def _whole_candidates(spark, d):
-    """What loci and answers need of every usable candidate."""
+def _places(spark, d):
+    """What loci and answers need of the candidates."""
     return candidates_of(spark, d).select("query_id", "video_id", "rank", "fused_score", "start_frame", "end_frame", "anchor")
 
 
-def _whole_loci(c):
-    """As ``_loci``, of every usable candidate."""
-    return c.where("end_frame >= start_frame").select("query_id", "video_id", F.col("rank").alias("locus_id"), "start_frame", "end_frame", F.greatest("fused_score", F.lit(1e-9)).alias("weight"))
+def _loci(spark, d):
+    return _loci_of(_places(spark, d))
 
 
-def _whole_shown(c):
-    """As ``_shown``, of all answers that a query may show."""
+def _shown_of(c):
+    """All answers that a query may show."""
     return c.where((F.col("rank") <= config.MAX_ANSWERS) & F.col("anchor").isNotNull()).select("query_id", "video_id", F.col("anchor").alias("frame")).distinct()
 
 
-LOCI = f"{GOOD}, loci AS (SELECT qid AS query_id, video_id, rnk AS locus_id, start_frame, end_frame, greatest(fused_score, 1e-9) AS weight FROM cand WHERE end_frame >= start_frame AND rnk <= 50), shown AS (SELECT DISTINCT qid AS query_id, video_id, anchor AS frame FROM cand WHERE rnk <= 20 AND anchor IS NOT NULL)"
+LOCI = f"{GOOD}, loci AS (SELECT qid AS query_id, video_id, rnk AS locus_id, start_frame, end_frame, greatest(fused_score, 1e-9) AS weight FROM cand WHERE end_frame >= start_frame), shown AS (SELECT DISTINCT qid AS query_id, video_id, anchor AS frame FROM cand WHERE rnk <= 100 AND anchor IS NOT NULL)"
 # Counted frame by frame, on purpose: another way than the operator's.
 KAPPA = f"{LOCI}, cells AS (SELECT query_id, video_id, locus_id, count(DISTINCT cell) AS u FROM (SELECT query_id, video_id, locus_id, unnest(range(greatest(frame - 24, start_frame)::BIGINT, least(frame, end_frame)::BIGINT + 1)) AS cell FROM loci JOIN shown USING (query_id, video_id)) GROUP BY ALL), kap AS (SELECT query_id, video_id, least(1.0, sum(weight * coalesce(u, 0) / (end_frame - start_frame + 1)) / sum(weight)) AS kappa FROM loci LEFT JOIN cells USING (query_id, video_id, locus_id) GROUP BY ALL)"
 
@@ -425,45 +398,14 @@ def interval_union_measure(spark, d):
 
 @query(f"WITH {KAPPA} SELECT query_id, video_id, round(kappa, 6) AS kappa FROM kap")
 def kappa_coverage(spark, d):
-    return coverage.kappa(_loci(spark, d), _shown(spark, d)).select("query_id", "video_id", r6("kappa"))
-
-
-# The queries with SQL above and below look at the first 50 candidates and 20 answers; these have no SQL and no such limits.
-
-
-@query()
-def kappa_coverage_whole(spark, d):
-    c = cut(_whole_candidates(spark, d))
-    return coverage.kappa(_whole_loci(c), _whole_shown(c)).select("query_id", "video_id", r6("kappa"))
-
-
-@query()
-def hit_probability_whole(spark, d):
-    c = cut(_whole_candidates(spark, d))
-    return coverage.hit_probability(channels.video_scores(c), coverage.kappa(_whole_loci(c), _whole_shown(c))).select("query_id", r6("probability"))
-
-
-@query()
-def interval_union_measure_whole(spark, d):
-    return coverage.interval_union(_whole_loci(_whole_candidates(spark, d)), ["query_id", "video_id"])
-
-
-@query()
-def covering_frames_whole(spark, d):
-    f = coverage.covering_frames(F.col("start_frame"), F.col("end_frame"), 25)
-    return _whole_loci(_whole_candidates(spark, d)).select("query_id", "locus_id", F.get(f, F.lit(0)).alias("first_frame"), F.size(f).alias("frames"))
-
-
-@query()
-def expand_clip_locus_whole(spark, d):
-    rows = _whole_loci(_whole_candidates(spark, d)).join(fps_of(spark, d).select("video_id", "last_frame"), "video_id", "left")
-    lo, hi = coverage.expand_locus(F.col("start_frame"), F.col("end_frame"), 13, F.col("last_frame"))
-    return rows.select("query_id", "locus_id", lo.alias("lo"), hi.alias("hi"))
+    c = cut(_places(spark, d))
+    return coverage.kappa(_loci_of(c), _shown_of(c)).select("query_id", "video_id", r6("kappa"))
 
 
 @query(f"WITH {KAPPA}, {VSCORES.replace(GOOD + ', ', '')} SELECT query_id, round(least(1.0, sum(coalesce(pi, 0) * coalesce(kappa, 0))), 6) AS probability FROM pi LEFT JOIN kap USING (query_id, video_id) GROUP BY query_id")
 def hit_probability(spark, d):
-    return coverage.hit_probability(channels.video_scores(candidates_of(spark, d)), coverage.kappa(_loci(spark, d), _shown(spark, d))).select("query_id", r6("probability"))
+    c = cut(_places(spark, d))
+    return coverage.hit_probability(channels.video_scores(c), coverage.kappa(_loci_of(c), _shown_of(c))).select("query_id", r6("probability"))
 
 
 @query(f"WITH {LOCI} SELECT query_id, locus_id, list_distinct(list_transform(range(1, greatest(1, ceil((end_frame - start_frame + 1) / 25))::BIGINT + 1), lambda i: greatest(0, least(start_frame + i * 25 - 1, end_frame))))[1] AS first_frame, len(list_distinct(list_transform(range(1, greatest(1, ceil((end_frame - start_frame + 1) / 25))::BIGINT + 1), lambda i: greatest(0, least(start_frame + i * 25 - 1, end_frame))))) AS frames FROM (SELECT *  FROM loci)".replace("list_distinct(list_transform(range(1, greatest(1, ceil((end_frame - start_frame + 1) / 25))::BIGINT + 1), lambda i: greatest(0, least(start_frame + i * 25 - 1, end_frame))))[1]", "greatest(0, least(start_frame + 24, end_frame))"))
@@ -538,11 +480,29 @@ def answer_plain_forms(spark, d):
     return q.select("query_no", (scoring.plain_answer(F.col("english")) == scoring.plain_answer(F.col("raw"))).alias("same"), scoring.plain_answer(F.col("question")).alias("plain"))
 
 
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'numeric' WHEN 1 THEN 'exact' WHEN 2 THEN 'alias' ELSE 'none' END AS tier FROM part")
+# Every part name and brand is an answer: as it is, in another spelling, as a number with words around it, or by an alias.
+def number_sql(x):
+    bare = f"trim(regexp_replace({plain_answer_sql(x)}, '(^|[^\\pL\\pN_])({QUANT})($|[^\\pL\\pN_])', ' ', 'g'))"
+    words = " ".join(f"WHEN '{w}' THEN {n}.0" for w, n in scoring.NUMBER_WORDS.items())
+    return f"CASE WHEN regexp_full_match(replace({bare}, ' ', ''), '-?[0-9]+([.,][0-9]+)?') THEN CAST(replace(replace({bare}, ' ', ''), ',', '.') AS DOUBLE) ELSE CASE {bare} {words} END END"
+
+
+def tier_sql(got, want, aliases):
+    each = f"list_filter(list_transform({aliases}, lambda a: CASE WHEN {plain_answer_sql('a')} = {plain_answer_sql(got)} THEN 'alias' WHEN ({number_sql('a')}) = ({number_sql(got)}) THEN 'alias-numeric' END), lambda t: t IS NOT NULL)"
+    return f"CASE WHEN {plain_answer_sql(got)} = {plain_answer_sql(want)} THEN 'exact' WHEN ({number_sql(got)}) = ({number_sql(want)}) THEN 'numeric' ELSE coalesce(({each})[1], 'none') END"
+
+
+_ANSWERS = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN 'khoảng ' || p_size || ' cái' WHEN 2 THEN upper(p_type) || '.' WHEN 3 THEN p_size % 12 || '' ELSE p_brand END AS got, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_size || '!' ELSE p_type END AS want, ['mười', p_type, p_size || ' người', p_brand] AS aliases FROM part"
+
+
+@query(f"SELECT p_partkey, {tier_sql('got', 'want', 'aliases')} AS tier FROM ({_ANSWERS})")
 def answer_match_tiers(spark, d):
-    size = F.col("p_size").cast("string")
-    got = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("có "), size, F.lit(" người"))).when(F.col("p_size") % 4 == 1, F.concat(F.lit(" "), size, F.lit("!"))).when(F.col("p_size") % 4 == 2, F.lit("Xe Tải")).otherwise(F.lit("khác"))
-    return table(spark, d, "part").select("p_partkey", scoring.answer_tier(got, size, F.array(F.lit("thuyền"), F.lit("xe tải"))).alias("tier"))
+    p, size = table(spark, d, "part"), F.col("p_size").cast("string")
+    kind, other = F.col("p_partkey") % 5, F.col("p_partkey") % 3
+    got = F.when(kind == 0, F.col("p_name")).when(kind == 1, F.concat(F.lit("khoảng "), size, F.lit(" cái"))).when(kind == 2, F.concat(F.upper("p_type"), F.lit("."))).when(kind == 3, (F.col("p_size") % 12).cast("string")).otherwise(F.col("p_brand"))
+    want = F.when(other == 0, F.upper("p_name")).when(other == 1, F.concat(size, F.lit("!"))).otherwise(F.col("p_type"))
+    aliases = F.array(F.lit("mười"), F.col("p_type"), F.concat(size, F.lit(" người")), F.col("p_brand"))
+    return scoring.tiers(p.select("p_partkey", got.alias("got"), want.alias("want"), aliases.alias("aliases")), ["p_partkey"], "got", "want", "aliases")
 
 
 @query(f"WITH {GOOD}, sub AS (SELECT qid, rnk, video_id, anchor, last_frame FROM cand LEFT JOIN (SELECT video_id, max(frame_idx) AS last_frame FROM keyframes GROUP BY 1) USING (video_id) WHERE rnk <= 100), dup AS (SELECT *, row_number() OVER (PARTITION BY qid, video_id, anchor ORDER BY rnk) AS copy FROM sub) SELECT rule, severity, count(*) AS n FROM (SELECT 'malformed video_id' AS rule, 'error' AS severity FROM sub WHERE NOT regexp_full_match(video_id, 'L[0-9]+_V[0-9]+') UNION ALL SELECT 'negative frame', 'error' FROM sub WHERE anchor < 0 UNION ALL SELECT 'exact duplicate', 'error' FROM dup WHERE copy > 1 UNION ALL SELECT 'past the last frame', 'warning' FROM sub WHERE anchor > last_frame UNION ALL SELECT 'free slots', 'warning' FROM (SELECT qid FROM sub GROUP BY qid HAVING count(*) < 100)) GROUP BY ALL")
@@ -600,19 +560,17 @@ def review_scan_order(spark, d):
     return review.scan_order(c.join(v, ["query_id", "video_id"]).withColumn("k", k).where("k <= 4")).select("query_id", "cand_id", "scan")
 
 
-@query(f"WITH {GOOD}, tail AS (SELECT qid AS query_id, 1 AS part, rnk AS pos, video_id, anchor AS frame FROM cand WHERE rnk <= 100), pins AS (SELECT query_id, 0 AS part, pos, video_id, frame FROM tail WHERE pos IN (7, 9)), kept AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id, frame ORDER BY part, pos) AS copy FROM (SELECT * FROM pins UNION ALL SELECT * FROM tail)) SELECT query_id, video_id, frame, row_number() OVER (PARTITION BY query_id ORDER BY part, pos) AS rank, CASE WHEN part = 0 THEN 'pinned' ELSE 'greedy' END AS source FROM kept WHERE copy = 1 QUALIFY rank <= 100")
+@query(f"WITH {GOOD}, tail AS (SELECT qid AS query_id, 1 AS part, rnk AS pos, video_id, anchor AS frame, 1.0 / (pos + 40.0) AS gain FROM (SELECT *, rnk AS pos FROM cand) WHERE rnk <= 100), pins AS (SELECT query_id, 0 AS part, pos, video_id, frame, 0.0 AS gain FROM tail WHERE pos IN (7, 9)), kept AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id, frame ORDER BY part, pos) AS copy FROM (SELECT * FROM pins UNION ALL SELECT * FROM tail)) SELECT query_id, video_id, frame, row_number() OVER (PARTITION BY query_id ORDER BY part, pos) AS rank, CASE WHEN part = 0 THEN 'pinned' ELSE 'greedy' END AS source, round(least(1.0, sum(gain) OVER (PARTITION BY query_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)), 6) AS cumulative FROM kept WHERE copy = 1 QUALIFY rank <= 100")
 def pins_merge(spark, d):
-    rows = _answers(spark, d).withColumn("gain", F.lit(0.0)).withColumn("source", F.lit("greedy"))
+    rows = _answers(spark, d).withColumn("gain", 1.0 / (F.col("rank") + 40.0)).withColumn("source", F.lit("greedy"))
     pins = rows.where("rank in (7, 9)").select("query_id", F.col("rank").alias("pos"), "video_id", "frame")
-    return coverage.apply_pins(rows, pins).select("query_id", "video_id", "frame", "rank", "source")
+    return coverage.apply_pins(rows, pins).select("query_id", "video_id", "frame", "rank", "source", r6("cumulative"))
 
 
-@query("WITH h AS (SELECT split_part(video_id, '_', 1) AS grp, sum(s) / 3600.0 AS hours FROM (SELECT video_id, max(length_seconds) AS s FROM media_info WHERE length_seconds BETWEEN 1 AND 36000 GROUP BY 1) GROUP BY 1) SELECT grp, round(hours, 6) AS hours, CAST(round_even(100 * hours / sum(hours) OVER (), 0) AS BIGINT) AS share FROM h")
+@query("WITH h AS (SELECT split_part(video_id, '_', 1) AS grp, sum(s) / 3600.0 AS hours FROM (SELECT video_id, max(pts_time) AS s FROM keyframes WHERE pts_time IS NOT NULL GROUP BY 1) GROUP BY 1), n AS (SELECT grp, hours, CAST(round_even(100 * hours / sum(hours) OVER (), 0) AS BIGINT) AS n FROM h) SELECT grp, round(hours, 6) AS hours, greatest(0, CASE WHEN lead(grp) OVER w IS NULL THEN 100 - coalesce(sum(n) OVER (ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE n END) AS share FROM n WINDOW w AS (ORDER BY grp)")
 def stratified_shares(spark, d):
-    one = table(spark, d, "media_info").where("length_seconds between 1 and 36000").groupBy("video_id").agg(F.max("length_seconds").alias("s"))
-    h = one.groupBy(F.substring_index("video_id", "_", 1).alias("grp")).agg((F.sum("s") / 3600.0).alias("hours"))
-    total = h.agg(F.sum("hours").alias("all"))  # one row
-    return h.join(F.broadcast(total), F.lit(True)).select("grp", r6("hours"), F.bround(100 * F.col("hours") / F.col("all"), 0).cast("long").alias("share"))
+    hours = cut(devset.group_hours(table(spark, d, "keyframes")))
+    return devset.allotment(hours, 100).join(hours, "grp").select("grp", r6("hours"), F.col("n").alias("share"))
 
 
 # ---- generic joins, sets and aggregates
@@ -665,11 +623,6 @@ def _clustered(spark, d):
     return channels.leader_clusters(c.drop("cluster_id", "raw").join(v, "cand_id", "left"))
 
 
-@query()
-def leader_clusters(spark, d):
-    return _clustered(spark, d).select("query_id", "cand_id", "cluster_id")
-
-
 def _beliefs(spark, d):
     c = cut(_clustered(spark, d))  # used by loci, beliefs and pool
     return cut(coverage.build_loci(c, fps_of(spark, d))), cut(channels.video_scores(c))
@@ -707,18 +660,6 @@ def allocate_trake(spark, d):
     return coverage.allocate_moments(paths.drop("confidence"), few, none)
 
 
-@query()
-def temporal_channel(spark, d):
-    rows = shots.frames_to_shots(_moments(spark, d).drop("embedding"), _shots(spark, d))
-    return align.temporal_channel(rows)
-
-
-@query()
-def localized_channel(spark, d):
-    rows = _moments(spark, d).drop("embedding").withColumn("full", F.col("sims")[0])
-    return align.localized_channel(align.neighbourhood(rows, 2), _shots(spark, d))
-
-
 @query()
 def review_shortlist(spark, d):
     c, fps = cut(candidates_of(spark, d)), fps_of(spark, d)

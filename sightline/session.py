@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -15,18 +17,26 @@ TABLES = (
 ).split()
 
 
-def session(app: str = "sightline", master: str | None = None, cores: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and benches; on a cluster the submitting side's settings hold."""
-    builder = SparkSession.builder.appName(app).master(master or f"local[{cores}]")
+def session(app: str = "sightline", master: str | None = None, cores: int | None = None, memory: str = "8g") -> SparkSession:
+    """The submitter's session where there is one, else a local one for tests and benches.
+
+    Under spark-submit nothing that the submitter has set is changed: neither the
+    master nor the number of shuffle partitions.
+    """
     settings = {
-        "spark.sql.shuffle.partitions": cores,
-        "spark.driver.memory": memory,
-        "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
     }
+    builder = SparkSession.builder.appName(app)
+    if "PYSPARK_GATEWAY_PORT" in os.environ or SparkSession.getActiveSession() is not None:
+        given = SparkConf()
+        settings = {k: v for k, v in settings.items() if not given.contains(k)}
+    else:
+        n = cores or os.cpu_count() or 8
+        builder = builder.master(master or f"local[{n}]")
+        settings |= {"spark.sql.shuffle.partitions": n, "spark.driver.memory": memory, "spark.ui.enabled": "false"}
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.config import Config
-from sightline.operators import shots
-from sightline.plans.engine import Engine, encode_column, hash_encoder
-from sightline.plans.reference import docs_of, media_of, vectors_of
+from sightline.operators import devset, shots
+from sightline.plans.encoders import hash_encoder
+from sightline.plans.engine import Engine, encode_column
+from sightline.plans.reference import docs_of, vectors_of
 from sightline.sources import corpus, submissions
 
 QUERIES = [
@@ -23,8 +24,9 @@ QUERIES = [
 
 @pytest.fixture(scope="module")
 def engine(spark, small):
-    keyframes = spark.read.parquet(f"{small}/keyframes.parquet")
-    return Engine.over(spark, keyframes, vectors_of(spark, small), docs_of(spark, small), media_of(spark, small), encoder=hash_encoder(64))
+    keyframes, first = spark.read.parquet(f"{small}/keyframes.parquet"), hash_encoder(64)
+    second_tower = lambda texts: first([f"second {t}" for t in texts])
+    return Engine.over(spark, keyframes, vectors_of(spark, small), docs_of(spark, small), spark.read.parquet(f"{small}/media_info.parquet"), encoder=hash_encoder(64), multilingual=second_tower)
 
 
 def test_solve_and_write(spark, engine, tmp_path):
@@ -149,14 +151,12 @@ def test_requests(spark, small):
             requests.batch(spark, bad)
     keyframes = spark.read.parquet(f"{small}/keyframes.parquet")
     solved = spark.createDataFrame([("q", 1, "L21_V001", 30, None, 0.1234567, 0.1)], "query_id string, rank int, video_id string, frame int, frames array<int>, gain double, cumulative double")
-    row = requests.shown(solved, keyframes, media_of(spark, small)).first()
+    row = requests.shown(solved, keyframes, spark.read.parquet(f"{small}/media_info.parquet")).first()
     assert row["nearest_n"] is not None and row["timecode"].startswith("00:0") and row["gain"] == 0.123457
-    assert requests.video_info(keyframes, media_of(spark, small), "L21_V001").first()["keyframes"] > 0
+    assert requests.video_info(keyframes, spark.read.parquet(f"{small}/media_info.parquet"), "L21_V001").first()["keyframes"] > 0
 
 
 def test_devset_sampling(spark, small):
-    from sightline.operators import devset
-
     keyframes = spark.read.parquet(f"{small}/keyframes.parquet")
     drawn = devset.sample_targets(keyframes, {"kis": 12, "qa": 5}).collect()
     assert {t: sum(r["task"] == t for r in drawn) for t in ("kis", "qa")} == {"kis": 12, "qa": 5}
@@ -195,14 +195,115 @@ def test_text_hits_far_from_the_query_keep_their_shots(spark):
 
 
 def test_a_light_locus_of_a_question_keeps_its_frames(spark, monkeypatch):
-    """A long, heavy locus has more than 48 frames of better score than any of the light one."""
+    """Of each locus four frames are offered, so a long, heavy one leaves room for a light one."""
     keyframes = spark.createDataFrame([("L21_V001", n, n * 4.0, 25.0, n * 100) for n in range(40)], "video_id string, n int, pts_time double, fps double, frame_idx int")
     engine = Engine.over(spark, keyframes, None, None)
     found = {
         "parsed": spark.createDataFrame([("q", "qa", [])], "query_id string, task string, moments array<string>"),
-        "candidates": spark.createDataFrame([("q", "L21_V001", 1, 0, 1, 1000, 2499, 2000, 10.0), ("q", "L21_V001", 2, 1, 0, 0, 49, 20, 0.1)], "query_id string, video_id string, rank int, cluster_id int, shot_id int, start_frame int, end_frame int, anchor int, fused_score double"),
+        "candidates": spark.createDataFrame([("q", "L21_V001", 1, 0, 1, 1000, 2499, 2000, 10.0, {}), ("q", "L21_V001", 2, 1, 0, 0, 49, 20, 0.1, {})], "query_id string, video_id string, rank int, cluster_id int, shot_id int, start_frame int, end_frame int, anchor int, fused_score double, ranks map<string,int>"),
         "beliefs": spark.createDataFrame([("q", "L21_V001", 1.0)], "query_id string, video_id string, pi double"),
     }
     monkeypatch.setattr(Engine, "retrieve", lambda self, queries: found)
     frames = [r["frame"] for r in engine.solve(None).collect()]
-    assert sum(f < 100 for f in frames) >= 3 and len(frames) > 48, (len(frames), sum(f < 100 for f in frames))
+    assert sum(f < 100 for f in frames) >= 3 and sum(f >= 100 for f in frames) == 4, frames
+    engine.config = Config(frames_per_locus=None)
+    assert sum(r["frame"] >= 100 for r in engine.solve(None).collect()) > 48
+
+
+def test_both_towers_have_their_channels(spark, engine):
+    found = engine.retrieve(spark.createDataFrame([(*QUERIES[0], "a potter weaves a basket by a purple umbrella")], "query_id string, raw string, english string"))
+    names = {r[0] for r in found["hits"].select("channel").distinct().collect()}
+    assert {"dense_translated", "dense_original", "dense_multilingual", "dense_multilingual_parts", "dense_localized", "dense_temporal_kis"} <= names
+    without = engine.retrieve(spark.createDataFrame(QUERIES[:1], "query_id string, raw string"))
+    names = {r[0] for r in without["hits"].select("channel").distinct().collect()}
+    assert "dense_original" in names and "dense_translated" not in names
+
+
+def test_review_keeps_videos_without_candidates(spark, engine):
+    """A video that the fused list lost is still shown from the reserve of the whole-corpus channels."""
+    from dataclasses import replace
+
+    few = replace(engine, config=Config(n_candidates=5))
+    found = few.retrieve(spark.createDataFrame(QUERIES[:1], "query_id string, raw string"))
+    kept = {r["video_id"] for r in found["candidates"].collect()}
+    shown = {r["video_id"] for r in few._reviewed(found).collect()}
+    reserve = {r["video_id"] for r in found["recall"].where("recall_only").collect()}
+    assert len(kept) <= 5 and reserve and reserve & shown and kept <= shown
+
+
+def test_evaluate_review(spark, engine):
+    queries = spark.createDataFrame(QUERIES[:2], "query_id string, raw string")
+    shown = engine.review(queries).where("query_id = 'q1'").orderBy("scan").first()
+    truths = spark.createDataFrame([("q1", shown["video_id"], [(shown["frame"] - 5, shown["frame"] + 5)]), ("q2", "", [])], "query_id string, video_id string, spans array<struct<s:int,e:int>>")
+    each, summary = engine.evaluate_review(queries, truths)
+    row = each.collect()
+    assert len(row) == 1 and row[0]["shown"] and row[0]["frame_hit"] and row[0]["first_thumbnail"] == 1 and row[0]["near_5s"]
+    assert summary.first()["frame_hits"] == 1 and summary.first()["recall_100"] == 1
+
+
+def test_encoders_that_do_not_fit(spark, engine):
+    from dataclasses import replace
+
+    from sightline.plans.encoders import EncoderUnavailable, load_encoder
+
+    with pytest.raises(ValueError):
+        replace(engine, encoder=hash_encoder(32)).check_encoders()
+    with pytest.raises(EncoderUnavailable):
+        load_encoder("no-such-model", 64)
+
+
+def test_settings(tmp_path, monkeypatch):
+    from sightline.config import load_config
+
+    (tmp_path / "c.json").write_text('{"rrf_eta": 30, "answer_len": {"kis": 12}}')
+    monkeypatch.setenv("SIGHTLINE_RECALL_VIDEOS", "77")
+    c = load_config(str(tmp_path / "c.json"), channel_depth=9)
+    assert (c.rrf_eta, c.answer_len["kis"], c.answer_len["qa"], c.recall_videos, c.channel_depth, c.n_candidates) == (30.0, 12, 25, 77, 9, 500)
+    (tmp_path / "c.json").write_text('{"nothing": 1}')
+    with pytest.raises(ValueError):
+        load_config(str(tmp_path / "c.json"))
+
+
+def test_extraction_and_videos(spark, tmp_path):
+    root, out = tmp_path / "root", tmp_path / "out"
+    root.mkdir()
+    with zipfile.ZipFile(root / "a.zip", "w") as z:
+        for k in range(40):
+            z.writestr(f"x/map-keyframes/L21_V{k:03}.csv", f"n,pts_time,fps,frame_idx\n1,0.0,25.0,{k}\n")
+        z.writestr("x/video/L21_V001.mp4", b"film" * 1000)
+    done = corpus.extract(spark, str(root), str(out)).collect()
+    assert [(r["family"], r["files"], r["complete"]) for r in done] == [("map-keyframes", 40, True)]
+    assert sorted(map(tuple, corpus.read_keyframes(spark, str(out)).collect())) == sorted(map(tuple, corpus.read_keyframes(spark, str(root)).collect()))
+    film = corpus.extract_video(spark, str(root), "L21_V001", str(tmp_path / "films"))
+    assert film.read_bytes() == b"film" * 1000 and corpus.extract_video(spark, str(root), "L21_V001", str(tmp_path / "films")) == film
+    assert corpus.locate_video(spark, str(root), "L21_V999") is None
+    with pytest.raises(FileNotFoundError):
+        corpus.extract_video(spark, str(root), "L21_V999", str(tmp_path))
+
+
+def test_labelled_set_round_trip(spark, small, tmp_path):
+    drawn = devset.sample_targets(spark.read.parquet(f"{small}/keyframes.parquet"), {"kis": 3, "qa": 2})
+    queries, truths, told = corpus.devset_template(drawn)
+    corpus.write_devset(str(tmp_path / "d.json"), queries, truths, {"about": "x"})
+    q, t = corpus.read_devset(spark, str(tmp_path / "d.json"))
+    assert q.count() == t.count() == len(told) == 5 and t.where("task = 'qa' and answer = 'TODO'").count() == 2
+    assert {(r["query_id"], r["video_id"]) for r in t.collect()} == {(r["query_id"], r["video_id"]) for r in truths.collect()}
+
+
+def test_detections(spark):
+    rows = [("v", 1, f"l{k}", 0.3 + 0.06 * k) for k in range(11)]
+    got = corpus.detections(spark.createDataFrame(rows, "video_id string, n int, label string, score double")).collect()
+    assert len(got) == 8 and min(r["score"] for r in got) > 0.4 and sum(r["alert"] for r in got) == 2
+
+
+def test_commands(tmp_path, capsys):
+    from sightline.__main__ import main
+
+    assert main(["parse", "Có bao nhiêu người?"]) == 0 and '"qa"' in capsys.readouterr().out
+    assert main(["submit-selftest", str(tmp_path / "s")]) == 0 and "the same" in capsys.readouterr().out
+    root = tmp_path / "root" / "map-keyframes"
+    root.mkdir(parents=True)
+    for v in ("L21_V001", "L21_V002"):
+        (root / f"{v}.csv").write_text("n,pts_time,fps,frame_idx\n" + "\n".join(f"{k},{k * 4.0},25.0,{k * 100}" for k in range(1, 30)))
+    assert main(["devset", str(tmp_path / "root"), str(tmp_path / "d"), "--kis", "2", "--qa", "1", "--trake", "1"]) == 0
+    assert len(json.loads((tmp_path / "d" / "devset.json").read_text())["queries"]) == 4
