@@ -39,7 +39,7 @@ INDEX_CHARS = 4_000_000
 #: Words of a document handled at once, so that a very long text needs no more memory.
 SEGMENT = 1 << 14
 K1, B = 1.2, 0.75
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR, _ITEM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _windows(codes: np.ndarray, words: int) -> np.ndarray:
@@ -83,11 +83,19 @@ class ItemIndex:
         self.impacts = np.zeros((len(self.cells) + 1, BLOCK), np.float32)
         self.impacts[where, place[item] % BLOCK] = impact
         self.cell_max = self.impacts.max(1)
+        # Block maxima as a table where that is small; else they are looked up by posting.
+        self.table = None
+        if v * self.blocks <= 2 * CELLS:
+            self.table = np.zeros((v, self.blocks), np.float32)
+            self.table.ravel()[self.cells] = self.cell_max[:-1]
         self.term_cells = np.searchsorted(self.cells, np.arange(v + 1) * self.blocks)
-        # Where each run of an item stands in it, by hash.
-        hashes = [_windows(t, words) for t in self.coded]
-        sort = [np.argsort(h, kind="stable").astype(np.int32) for h in hashes]
-        self.runs = [(h[s], s) for h, s in zip(hashes, sort, strict=True)]
+        # Where each run of an item stands in it, by a hash of run and item.
+        count = [len(t) - words + 1 for t in self.coded]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(_windows(t, words) + np.array([k], np.uint64) * _ITEM for k, t in enumerate(self.coded))])
+        sort = np.argsort(keys, kind="stable")
+        self.run_keys = keys[sort]
+        self.run_item = np.repeat(np.arange(n, dtype=np.int32), count)[sort]
+        self.run_at = np.concatenate([np.zeros(0, np.int32), *(np.arange(c, dtype=np.int32) for c in count)])[sort]
 
     def rows(self, passage: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """Impact of each word of a passage on each item of the given blocks."""
@@ -103,6 +111,8 @@ class ItemIndex:
 
     def opened(self, codes: np.ndarray) -> np.ndarray:
         """Blocks of which a run of the passage reaches the bound, by the block maxima of its words' postings."""
+        if self.table is not None:
+            return np.flatnonzero((self._sums(self.table[codes]) >= self.block_threshold).any(0))
         start, end = self.term_cells[codes], self.term_cells[codes + 1]
         size = end - start
         cell = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
@@ -138,14 +148,17 @@ class ItemIndex:
             start, column = np.nonzero(self._sums(self.rows(codes, some)) >= self.threshold[items])
             if len(start) and hashes is None:
                 hashes = _windows(codes, self.words)
-            for k, item in zip(start.tolist(), items[column].tolist(), strict=True):
-                own, place = self.runs[item]
-                j = int(np.searchsorted(own, hashes[k]))
-                while j < len(own) and own[j] == hashes[k]:
-                    p = int(place[j])
+            if not len(start):
+                continue
+            wanted = hashes[start] + items[column].astype(np.uint64) * _ITEM
+            place = np.searchsorted(self.run_keys, wanted)
+            hit = np.flatnonzero(self.run_keys[np.minimum(place, len(self.run_keys) - 1)] == wanted)
+            for k, key, at in zip(start[hit].tolist(), wanted[hit], place[hit].tolist(), strict=True):
+                while at < len(self.run_keys) and self.run_keys[at] == key:
+                    item, p = int(self.run_item[at]), int(self.run_at[at])
                     if (self.coded[item][p : p + self.words] == codes[k : k + self.words]).all():
                         found.setdefault(item, set()).add(p)
-                    j += 1
+                    at += 1
 
 
 def _words(text) -> F.Column:

@@ -152,7 +152,10 @@ def test_overlap_with_body_and_question(spark):
     assert got == {(1, 1, 34, 15, 14, 0), (1, 2, 20, 15, 0, 0), (2, 1, 34, 14, 14, 14), (3, 1, 34, 34, 14, 14), (3, 2, 20, 20, 0, 0), (4, 1, 34, 15, 14, 5)}
 
 
-def test_thresholds_are_lower_bounds():
+@pytest.mark.parametrize("cells", [1 << 21, 40])
+def test_thresholds_are_lower_bounds(monkeypatch, cells):
+    """With the block maxima as a table, and by posting a few blocks at a time."""
+    monkeypatch.setattr(leakage, "CELLS", cells)
     rng = random.Random(3)
     texts = [[f"w{rng.randrange(30)}" for _ in range(40)] for _ in range(33)]
     index = leakage.ItemIndex(list(range(33)), texts)
