@@ -124,42 +124,58 @@ def frame_pool(loci: DataFrame, beliefs: DataFrame, answer_len: int = 25, least:
 
 
 class _Covered:
-    """Covered measure of one video's loci under growing sets of frames."""
+    """What covering each frame of one video would still add, under growing sets of answers.
 
-    def __init__(self, loci, answer_len: int):
-        self.loci = [(int(s), int(e), float(w)) for s, e, w in loci if w > 0]
-        self.weight = sum(w for *_, w in self.loci)
-        self.length = answer_len
-        self.taken = [np.zeros(e - s + 1, bool) for s, e, _ in self.loci]
+    A locus spreads its weight evenly over its frames; an answer takes what lies on
+    the ``answer_len`` frames up to its own, for all loci at once.
+    """
 
-    def _spans(self, frame: int):
-        for (s, e, w), taken in zip(self.loci, self.taken, strict=True):
-            a, b = max(frame - self.length + 1, s), min(frame, e)
-            if a <= b:
-                yield w, taken, a - s, b - s + 1
+    def __init__(self, start: np.ndarray, end: np.ndarray, weight: np.ndarray, answer_len: int):
+        use = (weight > 0) & (end >= start)
+        start, end, weight = start[use].astype(np.int64), end[use].astype(np.int64), weight[use].astype(np.float64)
+        self.length, self.total = answer_len, float(weight.sum())
+        self.first = int(start.min()) if len(start) else 0
+        size = int(end.max()) - self.first + 1 if len(end) else 0
+        steps, held = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+        for at, sign in ((start - self.first, 1), (end - self.first + 1, -1)):
+            np.add.at(steps, at, sign * weight / (end - start + 1))
+            np.add.at(held, at, sign)
+        self.worth = np.where(np.cumsum(held) > 0, np.cumsum(steps), 0.0)[:size]
+
+    def _span(self, frame):
+        size = len(self.worth)
+        return np.clip(frame - self.length + 1 - self.first, 0, size), np.clip(frame + 1 - self.first, 0, size)
+
+    def gains(self, frames: np.ndarray) -> np.ndarray:
+        """Of each frame on its own, all at once."""
+        upto = np.r_[0.0, np.cumsum(self.worth)]
+        a, b = self._span(frames)
+        return np.round((upto[b] - upto[a]) / self.total, 12) if self.total else np.zeros(len(frames))
 
     def gain(self, frame: int) -> float:
-        if not self.weight:
-            return 0.0
-        return sum(w * float((~t[a:b]).sum()) / len(t) for w, t, a, b in self._spans(frame)) / self.weight
+        a, b = max(0, frame - self.length + 1 - self.first), max(0, frame + 1 - self.first)
+        return round(float(self.worth[a:b].sum()) / self.total, 12) if self.total else 0.0
 
     def add(self, frame: int) -> None:
-        for _, t, a, b in self._spans(frame):
-            t[a:b] = True
+        a, b = max(0, frame - self.length + 1 - self.first), max(0, frame + 1 - self.first)
+        self.worth[a:b] = 0.0
 
 
-def lazy_greedy(candidates: list[tuple], gain_of, take, budget: int, seeds: list[int] = ()) -> list[tuple[int, float, str]]:
+def lazy_greedy(candidates: list[tuple], gain_of, take, budget: int, seeds: list[int] = (), start: list[float] | None = None) -> list[tuple[int, float, str]]:
     """Greedy by (gain, score, order of entry) with re-evaluation only at the top of the heap.
 
     ``candidates`` are (score, ...); an entry is taken only when its gain was worked
-    out after the latest choice.  ``seeds`` come first.  Gives (index, gain, source).
+    out after the latest choice.  ``seeds`` come first; ``start`` has the gains before
+    any choice where those are known.  Gives (index, gain, source).
     """
     chosen, done = [], set()
     for k in list(dict.fromkeys(seeds))[:budget]:
         chosen.append((k, gain_of(k), "seed"))
         take(k)
         done.add(k)
-    heap = [(-gain_of(k), -candidates[k][0], k, len(chosen)) for k in range(len(candidates)) if k not in done]
+    # Gains only shrink, so those from before the seeds are bounds and are looked at again at the top.
+    when = 0 if start is not None else len(chosen)
+    heap = [(-(start[k] if start is not None else gain_of(k)), -candidates[k][0], k, when) for k in range(len(candidates)) if k not in done]
     heapq.heapify(heap)
     while heap and len(chosen) < budget:
         gain, score, k, when = heapq.heappop(heap)
@@ -210,36 +226,30 @@ def allocate(pool: DataFrame, loci: DataFrame, beliefs: DataFrame, answer_len: i
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         query = left["query_id"].iloc[0] if len(left) else right["place_query"].iloc[0]
-        ordered = left.assign(a=left["answer"].fillna("")).sort_values(["score", "video_id", "frame", "a"], ascending=[False, True, True, True], kind="stable")
-        by = {v: g for v, g in right.groupby("video_id", sort=True)}
-        pi = {v: float(g["pi"].iloc[0]) for v, g in by.items()}
+        left = left.assign(a=left["answer"].fillna(""), none=left["answer"].isna())
+        key = ["video_id", "frame", "a", "none"]
+        offered = left[left["kind"] == "p"].sort_values(["score", "video_id", "frame", "a"], ascending=[False, True, True, True], kind="stable").drop_duplicates(key)
+        seeded = left[left["kind"] == "s"].sort_values("seed", kind="stable").drop_duplicates(key)
+        entries = pd.concat([offered, seeded]).drop_duplicates(key).reset_index(drop=True)
+        first = entries[key].reset_index().merge(seeded[[*key, "seed"]], on=key).sort_values("seed", kind="stable")["index"].to_list()
+        loci = {v: g for v, g in right.groupby("video_id", sort=True)}
+        pi = {v: float(g["pi"].iloc[0]) for v, g in loci.items()}
         total = sum(pi.values()) or 1.0
-        entries, seen, seed_rows = [], {}, ordered[ordered["kind"] == "s"].sort_values("seed", kind="stable")
-        for r in ordered[ordered["kind"] == "p"].itertuples():
-            key = (r.video_id, int(r.frame), None if r.answer is None or r.answer != r.answer else r.answer)
-            if key not in seen:
-                seen[key] = len(entries)
-                entries.append((float(r.score), *key, float(r.prob)))
-        first = []
-        for r in seed_rows.itertuples():
-            key = (r.video_id, int(r.frame), None)
-            if key not in seen:
-                seen[key] = len(entries)
-                entries.append((0.0, *key, 1.0))
-            first.append(seen[key])
-        covered: dict = {}
-
-        def state(k):
-            _, video, _, answer, _ = entries[k]
-            if (video, answer) not in covered:
-                g = by.get(video)
-                covered[video, answer] = _Covered([] if g is None else g[["start_frame", "end_frame", "weight"]].itertuples(index=False), answer_len)
-            return covered[video, answer]
-
-        gain_of = lambda k: pi.get(entries[k][1], 0.0) / total * entries[k][4] * state(k).gain(entries[k][2])
-        chosen = lazy_greedy(entries, gain_of, lambda k: state(k).add(entries[k][2]), min(budget, len(entries)), first)
+        nothing = right.iloc[:0]
+        factor, start, covered = np.zeros(len(entries)), np.zeros(len(entries)), [None] * len(entries)
+        for (video, _, _), own in entries.groupby(["video_id", "a", "none"], sort=False):
+            g = loci.get(video, nothing)
+            state = _Covered(g["start_frame"].to_numpy(), g["end_frame"].to_numpy(), g["weight"].to_numpy(), answer_len)
+            at = own.index.to_numpy()
+            factor[at] = pi.get(video, 0.0) / total * own["prob"].to_numpy()
+            start[at] = factor[at] * state.gains(own["frame"].to_numpy().astype(np.int64))
+            for k in at:
+                covered[k] = state
+        frames, factors = entries["frame"].astype(int).to_list(), factor.tolist()
+        chosen = lazy_greedy([(x,) for x in entries["score"].to_list()], lambda k: factors[k] * covered[k].gain(frames[k]), lambda k: covered[k].add(frames[k]), min(budget, len(entries)), first, start.tolist())
         running = np.minimum(1.0, np.cumsum([g for _, g, _ in chosen])) if chosen else []
-        rows = [(query, i + 1, entries[k][1], entries[k][2], entries[k][3], g, c, s) for i, ((k, g, s), c) in enumerate(zip(chosen, running, strict=True))]
+        videos, answers, none = entries["video_id"].to_list(), entries["a"].to_list(), entries["none"].to_list()
+        rows = [(query, i + 1, videos[k], frames[k], None if none[k] else answers[k], g, c, s) for i, ((k, g, s), c) in enumerate(zip(chosen, running, strict=True))]
         return pd.DataFrame(rows, columns=["query_id", "rank", "video_id", "frame", "answer", "gain", "cumulative", "source"])
 
     return marked.groupBy("query_id").cogroup(places.groupBy("place_query")).applyInPandas(run, ALLOCATION)

@@ -9,9 +9,10 @@ from sightline import config
 from sightline.functions.vector import normalised
 from sightline.operators import align, channels, coverage, dense, review, shots
 from sightline.plans import parse
-from sightline.plans.engine import channel_weights
+from sightline.plans.encoders import hash_encoder
+from sightline.plans.engine import Engine, channel_weights
 from sightline.plans.reference import (
-    CAND, COSINE, FRAMES, GOOD, HITS, MOMENTS, NORM, SHOTS, SPLIT, VECS, VIDEO_HITS, VSCORES, _quoted, candidates_of, fps_of, hits_of, norm_sql, queries_of, query, r6, tok_sql, vectors_of,
+    CAND, COSINE, FRAMES, GOOD, HITS, MOMENTS, NORM, SHOTS, SPLIT, VECS, VIDEO_HITS, VSCORES, _quoted, candidates_of, docs_of, fps_of, hits_of, norm_sql, queries_of, query, r6, tok_sql, vectors_of,
 )
 from sightline.plans.reference import _moments, _shots, _split, oracle_sql, queries  # noqa: F401
 from sightline.session import cut, table
@@ -270,3 +271,27 @@ def anchor_first(spark, d):
     ordered = coverage.anchor_first(F.col("frame_idx"), F.array(F.lit(1000), F.lit(500)))
     return rows.select("video_id", "n", F.abs(ordered[0] - F.col("frame_idx")).alias("nearest"), ordered[0].alias("first"))
 
+
+
+# ---- the engine end to end: no SQL, as its towers are stand-ins; checked step by step above and in the tests
+
+
+def _engine(spark, d):
+    keyframes, media = table(spark, d, "keyframes"), table(spark, d, "media_info")
+    return Engine.over(spark, keyframes, cut(vectors_of(spark, d)), cut(docs_of(spark, d)), media, encoder=hash_encoder(64))
+
+
+def _texts(spark, d):
+    return queries_of(spark, d).where("raw is not null").select("query_id", "raw", "english")
+
+
+@query()
+def solve(spark, d):
+    """Ordered answers to every query, from text and vectors to the allocation."""
+    return _engine(spark, d).solve(_texts(spark, d)).select("query_id", "task", "rank", "video_id", "frame", "frames", r6("gain"), r6("cumulative"), "source")
+
+
+@query()
+def review_queries(spark, d):
+    """Frames to look at for every query."""
+    return _engine(spark, d).review(_texts(spark, d))
