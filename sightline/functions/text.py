@@ -80,9 +80,12 @@ def tokens(text: Column, drop_stopwords: bool = True) -> Column:
 def char_ngrams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the text without marks; a shorter text is its own gram, an empty one has none."""
     flat = F.regexp_replace(F.lower(strip_diacritics(F.coalesce(text, F.lit("")))), "(?U)\\s+", " ")
-    size = F.length(flat)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(flat, i, F.lit(n))))
-    return F.when(size >= n, grams).when(size > 0, F.array(flat)).otherwise(F.array().cast("array<string>"))
+    chars = F.filter(F.split(flat, ""), lambda c: c != "")
+    size = F.greatest(F.lit(0), F.size(chars) - (n - 1))
+    # Shifted copies side by side: what stands within a lambda is worked out for every element.
+    shifted = F.arrays_zip(*(F.slice(chars, k + 1, size) for k in range(n)))
+    grams = F.array_distinct(F.transform(shifted, lambda z: F.concat(*(z[str(k)] for k in range(n)))))
+    return F.when(size > 0, grams).when(flat != "", F.array(flat)).otherwise(F.array().cast("array<string>"))
 
 
 def timecode(seconds: Column) -> Column:
