@@ -23,7 +23,7 @@ from functools import cache
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.find_spark_home import _find_spark_home
 from pyspark.sql import functions as F
 
@@ -159,6 +159,18 @@ class ProseModel:
         model.checked = rows.where("use = 'check'")
         return model
 
+    def save(self, path: str) -> None:
+        """Write the model to a folder, so that it need not be fitted for every run."""
+        self.trees.write().overwrite().save(f"{path}/trees")
+        SparkSession.active().createDataFrame([(self.slope, self.offset)], "slope double, offset double").coalesce(1).write.mode("overwrite").parquet(f"{path}/calibration")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ProseModel:
+        from pyspark.ml.classification import GBTClassificationModel
+
+        of = spark.read.parquet(f"{path}/calibration").first()
+        return cls(GBTClassificationModel.load(f"{path}/trees"), of["slope"], of["offset"])
+
     def calibration(self, bins: int = 10) -> DataFrame:
         """(bin, documents, predicted, observed) over agreed documents that neither the trees nor the calibration have seen."""
         scored = self.score(self.checked, "label").withColumn("bin", F.least(F.floor(F.col("not_prose") * bins), F.lit(bins - 1)).cast("int"))
@@ -204,9 +216,9 @@ def _calibrate(points: list[tuple[float, float]], steps: int = 50) -> tuple[floa
     return a, b
 
 
-def not_prose(documents: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """(doc_id, not_prose) of the documents that are mostly a list, a table or junk."""
-    model = ProseModel.fit(documents, labels)
+def not_prose(documents: DataFrame, labels: DataFrame, least: float = 0.5, model: ProseModel | None = None) -> DataFrame:
+    """(doc_id, not_prose) of the documents that are mostly a list, a table or junk; a model that is there is not fitted again."""
+    model = model or ProseModel.fit(documents, labels)
     if model is None:
         return documents.select("doc_id", F.lit(0.0).alias("not_prose")).where("false")
     found = model.score(_measured(documents).where("words > 0"), "doc_id").where(F.col("not_prose") >= least)

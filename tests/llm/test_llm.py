@@ -248,10 +248,16 @@ def test_classifier_on_held_out_labels(spark):
     assert len(scored) > 100 and right / len(scored) > 0.97
 
 
-def test_calibration_holds(spark):
-    """Predicted and observed shares of documents that the model has not seen, over all bins."""
+def test_calibration_holds(spark, tmp_path):
+    """Predicted and observed shares of documents that the model has not seen, over all bins; the model read back says the same."""
     d = "/root/testdata/sf0.1"
-    rows = quality.ProseModel.fit(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/doc_labels.parquet")).calibration().collect()
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/doc_labels.parquet")
+    model = quality.ProseModel.fit(docs, labels)
+    rows = model.calibration().collect()
+    model.save(str(tmp_path / "m"))
+    again = quality.ProseModel.load(spark, str(tmp_path / "m"))
+    few = docs.where("doc_id < 300")
+    assert sorted(map(tuple, quality.not_prose(few, labels, model=again).collect())) == sorted(map(tuple, quality.not_prose(few, labels, model=model).collect())) != []
     n = sum(r["documents"] for r in rows)
     assert n > 50 and sum(r["documents"] * abs(r["predicted"] - r["observed"]) for r in rows) / n < 0.05
 
