@@ -290,8 +290,3 @@ def solve(spark, d):
     """Ordered answers to every query, from text and vectors to the allocation."""
     return _engine(spark, d).solve(_texts(spark, d)).select("query_id", "task", "rank", "video_id", "frame", "frames", r6("gain"), r6("cumulative"), "source")
 
-
-@query()
-def review_queries(spark, d):
-    """Frames to look at for every query."""
-    return _engine(spark, d).review(_texts(spark, d))
