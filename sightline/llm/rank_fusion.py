@@ -7,7 +7,7 @@ no channel prevails because of its range.
 
 Null, NaN and absent scores say nothing: they neither take a rank nor add to a
 total.  An item without any score has total 0 and comes last.  Items with a null
-query belong to no ranking and are left out.  Equal totals are ordered by the
+query belong to no ranking and are left out, and so are rows without an item.  Equal totals are ordered by the
 smaller item id.  Columns other than query, item and scores are dropped.
 """
 
@@ -57,10 +57,11 @@ def fuse_wide(rows: DataFrame, query: str, item: str, score_columns: list[str],
     """
     if eta <= 0:
         raise ValueError("eta must be positive")
+    rows = rows.where(F.col(query).isNotNull() & F.col(item).isNotNull())
     if not score_columns:
-        return rows.where(F.col(query).isNotNull()).select(query, item, F.lit(0.0).alias("fused_score"))
+        return rows.select(query, item, F.lit(0.0).alias("fused_score"))
     w = [float((weights or {}).get(c, 1.0)) for c in score_columns]
-    clean = rows.where(F.col(query).isNotNull()).select(query, item, *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in score_columns))
+    clean = rows.select(query, item, *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in score_columns))
     plain = clean.where(~F.col(query).isin(hot)) if hot else clean
     ranks = [F.when(F.col(c).isNotNull(), F.rank().over(Window.partitionBy(query).orderBy(F.col(c).desc_nulls_last()))) for c in score_columns]
     result = plain.select(query, item, *(r.alias(c) for r, c in zip(ranks, score_columns, strict=True))).select(query, item, _total([F.col(c) for c in score_columns], w, eta).alias("fused_score"))

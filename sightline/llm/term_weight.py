@@ -5,8 +5,8 @@ For term t in record r: ``ppmi = max(0, ln(p(t, r) / (p(t) * p_a(r))))`` with
 smoothed by a fractional exponent, ``p_a(r) = size(r)^a / sum(size^a)``; ``N`` is
 the number of term occurrences in the collection.  Group-bys and joins only.
 
-Null and empty texts have no terms and give no rows; a record delivered more than
-once counts once.  Records outside the collection (queries) are scored against
+Null and empty texts have no terms and give no rows; records without a key are left
+out; a record delivered more than once counts once.  Records outside the collection (queries) are scored against
 the collection's marginals; a term that the collection lacks has df 0 and counts
 as occurring there as often as in the record.
 """
@@ -30,7 +30,7 @@ def count_terms(records: DataFrame, key: str, terms: str) -> DataFrame:
     No shuffle where the records are partitioned by ``key`` already, as after ``latest``.
     """
     # explode_outer: for a plain explode the optimizer adds a filter that works the terms out a second time.
-    one = records.select(F.col(key).alias("record_key"), F.size(terms).cast("long").alias("size"), F.explode_outer(terms).alias("term")).where("term is not null")
+    one = records.where(F.col(key).isNotNull()).select(F.col(key).alias("record_key"), F.size(terms).cast("long").alias("size"), F.explode_outer(terms).alias("term")).where("term is not null")
     return one.groupBy("record_key", "size", "term").agg(F.count("*").alias("joint"))
 
 

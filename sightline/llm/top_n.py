@@ -9,7 +9,7 @@
    N rows the reader seeks to the next group.  What is held is one batch and one
    group, which has at most N rows a run.
 
-Null and NaN scores and null groups are left out.  Equal scores are ordered by
+Null and NaN scores, null groups and null items are left out.  Equal scores are ordered by
 the smaller item.  A group with fewer rows comes out whole; repeated (group,
 score, item) rows count as rows.  An empty table gives an empty result.
 """
@@ -159,7 +159,7 @@ def top_n(rows: DataFrame, group: str, score: str, item: str, n: int, run_rows:
         raise ValueError("n must be at least 1")
     spark = rows.sparkSession
     kind = rows.schema[group].dataType
-    kept = rows.where(F.col(group).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score)).select(F.col(group).alias("g"), F.col(score).cast("double").alias("s"), F.col(item).cast("long").alias("i"))
+    kept = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).select(F.col(group).alias("g"), F.col(score).cast("double").alias("s"), F.col(item).cast("long").alias("i"))
     shape = [T.StructField("g", kind), T.StructField("s", T.DoubleType()), T.StructField("i", T.LongType())]
     runs = kept.mapInArrow(_run_maker(n, run_rows), T.StructType([*shape, T.StructField("run", T.LongType())]))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))

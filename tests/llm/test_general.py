@@ -14,7 +14,7 @@ from sightline.llm import queries, rank_fusion, similarity_clusters, term_weight
 def brute_fusion(rows, eta=60.0):
     by = defaultdict(lambda: defaultdict(dict))
     for q, i, scores in rows:
-        if q is not None:
+        if q is not None and i is not None:
             by[q][i] |= {c: s for c, s in (scores or {}).items() if s is not None and not math.isnan(s)}
     out = {}
     for q, items in by.items():
@@ -35,7 +35,7 @@ def test_fusion(spark, hot_rows):
         q = 1 if rng.random() < 0.4 else rng.randrange(2, 30)
         scores = {c: rng.choice([None, math.nan, float(rng.randrange(6)), rng.random() * 10**k]) for k, c in enumerate("abc") if rng.random() < 0.8}
         rows.append((q, i, scores))
-    rows += [(None, 1000, {"a": 1.0}), (99, 1001, None), (99, 1002, {})]
+    rows += [(None, 1000, {"a": 1.0}), (99, 1001, None), (99, 1002, {}), (99, None, {"a": 5.0}), (1, None, {"a": 5.0, "b": 1e9})]
     df = spark.createDataFrame(rows, "q long, i long, s map<string,double>").withColumn("rank", F.lit("clash")).withColumn("fused_score", F.lit("clash"))
     fused = rank_fusion.fuse_maps(df, "q", "i", "s", hot_rows=hot_rows)
     got, want = {(r[0], r[1]): r[2] for r in fused.collect()}, brute_fusion(rows)
@@ -71,7 +71,7 @@ def test_merge_of_runs():
 def test_top_n(spark, run_rows):
     rng = random.Random(4)
     rows = [("hot" if rng.random() < 0.5 else f"v{rng.randrange(40)}", float(rng.randrange(8)), i) for i in range(1500)]
-    bad = [(None, 1.0, 5000), ("v1", None, 5001), ("v1", math.nan, 5002)]
+    bad = [(None, 1.0, 5000), ("v1", None, 5001), ("v1", math.nan, 5002), ("v1", 9.0, None), ("hot", 9.0, None)]
     df = spark.createDataFrame(rows + bad, "v string, s double, i long").withColumn("g", F.lit(1)).withColumn("r", F.lit("clash"))
     got = sorted((v, rank, i) for v, i, _, rank in top_n.top_n(df.repartition(5), "v", "s", "i", 12, run_rows).collect())
     want = []
@@ -87,7 +87,7 @@ def test_top_n(spark, run_rows):
 def test_term_weights(spark, monkeypatch, frequent):
     monkeypatch.setattr(term_weight, "FREQUENT", frequent)
     docs = {1: "a a a b c".split(), 2: "a b".split(), 3: [], 4: "d d d d a".split()}
-    df = spark.createDataFrame([(k, v) for k, v in docs.items()] + [(5, None)], "k long, t array<string>")
+    df = spark.createDataFrame([(k, v) for k, v in docs.items()] + [(5, None), (None, ["a", "z"])], "k long, t array<string>")
     col = term_weight.Collection.of(term_weight.count_terms(df, "k", "t"))
     got = {(r["record_key"], r["term"]): r for r in col.score(col.counts).collect()}
     smoothed = sum(len(t) ** 0.75 for t in docs.values())
@@ -141,6 +141,13 @@ def test_clusters_of_a_chain(spark):
     assert len({r["pivot"] for r in got.values()}) >= 4
 
 
+def test_vectors_that_do_not_count(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (None, [1.0, 0.0]), (8, [])]
+    got = {r["id"]: r for r in similarity_clusters.cluster(spark.createDataFrame(rows, "id long, v array<float>").withColumn("pivot", F.lit("clash"))).collect()}
+    assert got.keys() == {1, 2} and got[1]["pivot"] == got[2]["pivot"] and got[1]["size"] == 2
+    assert similarity_clusters.cluster(spark.createDataFrame([], "id long, v array<float>")).count() == 0
+
+
 def test_frame_clusters_edges(spark):
     frames = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (2, "a", 1), (3, "b", 1), (4, "b", 2), (5, "b", 3), (6, "zz", 1), (None, "a", 1)], "frame_key long, video_id string, n int").withColumn("cluster_id", F.lit(-1)).withColumn("v", F.lit("clash"))
     vectors = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 1, [1.0, 0.0]), ("b", 1, [2.0, 0.1]), ("b", 2, [0.0, 0.0]), ("b", 3, None)], "video_id string, n int, embedding array<float>")
